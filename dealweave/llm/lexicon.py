@@ -9,7 +9,7 @@ import unicodedata
 LEGAL_FORMS = frozenset(
     """
     inc incorporated corp corporation co company companies llc llp lp ltd limited plc ag sa na nv
-    gmbh kg se spa srl bv ab oy as pty
+    gmbh kg se spa srl bv ab oy as pty corpn coy cos incorp
     """.split()
 )
 
@@ -20,7 +20,7 @@ ABBREVIATIONS = {
     "sec": "securities", "secs": "securities", "intl": "international", "int": "international",
     "inv": "investments", "invt": "investments", "invts": "investments", "invs": "investments", "invest": "investments",
     "cap": "capital", "captl": "capital", "cptl": "capital", "mkt": "markets", "mkts": "markets", "mrkts": "markets",
-    "cr": "credit", "crd": "credit", "cred": "credit", "part": "partners", "ptrs": "partners", "prtnrs": "partners", "ptnrs": "partners",
+    "cr": "credit", "crd": "credit", "crdt": "credit", "cred": "credit", "part": "partners", "ptrs": "partners", "prtnrs": "partners", "ptnrs": "partners",
     "tr": "trust", "trst": "trust", "bros": "brothers", "lndg": "lending", "lend": "lending",
     "eq": "equity", "eqty": "equity", "priv": "private", "pvt": "private", "pe": "pe", "mgmt": "management", "mgt": "management", "mgmnt": "management",
     "assoc": "associates", "assocs": "associates", "adv": "advisors", "advs": "advisors", "advrs": "advisors", "gr": "growth", "grth": "growth",
