@@ -38,7 +38,8 @@ def references_from(df: DataFrame, record_table: str, record_id: str, parent_tab
     """Distinct non-null references of a table; with ``is_array`` each entry of the array is one."""
     value = F.explode(F.col(key)) if is_array else F.col(key)
     return (
-        df.select(F.col(record_id).cast("long").alias("record_id"), F.col(touched).alias("referred_at"), value.cast("long").alias("missing_id"))
+        df.select(F.col(record_id).cast("long").alias("record_id"), F.col(touched).alias("referred_at"), value.alias("missing_id"))
+        .withColumn("missing_id", F.col("missing_id").cast("long"))
         .filter(F.col("missing_id").isNotNull())
         .select(F.lit(record_table).alias("record_table"), "record_id", F.lit(parent_table).alias("parent_table"), "missing_id", "referred_at")
     )

@@ -17,6 +17,7 @@ def build_session(app: str = "dealweave", cores: int | str = "*", **conf: str) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
     )
     for key, value in conf.items():
