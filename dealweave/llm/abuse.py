@@ -223,10 +223,14 @@ def train_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     are left out.  With labels of one class only, nothing is found.
     """
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(known, "k").withColumn("h", F.xxhash64("k"))
-    sample = []
+    picked = None
     for y in (0, 1):
-        sample += [(r["t"], y) for r in rows.filter(F.col("y") == y).orderBy("h", "k").limit(per_class).collect()]
+        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
+        picked = part if picked is None else picked.unionByName(part)
+    # At most two classes of per_class keys are broadcast.
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(picked), "k").collect()
+    sample = sorted((r["k"], r["t"], r["y"]) for r in rows)
+    sample = [(t, y) for _, t, y in sample]
     return AbuseModel([t for t, _ in sample], [y for _, y in sample])
 
 

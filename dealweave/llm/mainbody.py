@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.llm.boosting import BoostedTrees
+from dealweave.llm.samples import hashed_sample
 
 #: Most pages in the training sample (those with the smallest hashes).
 TRAIN_PAGES = 800
@@ -326,10 +327,10 @@ class BodyModel:
         return keep
 
 
-def train_model(pages: DataFrame, text: str, limit: int = TRAIN_PAGES) -> BodyModel:
-    """Fit on at most ``limit`` different pages, those with the smallest hashes."""
-    sample = pages.select(F.col(text).alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(limit)
-    return BodyModel(list(dict.fromkeys(r["t"] for r in sample.collect())))
+def train_model(pages: DataFrame, key: list[str], text: str, limit: int = TRAIN_PAGES) -> BodyModel:
+    """Fit on at most ``limit`` pages, those whose keys have the smallest hashes."""
+    rows = hashed_sample(pages.filter(F.col(text).isNotNull()), key, [F.col(text).alias("t")], limit)
+    return BodyModel(sorted({r["t"] for r in rows}))
 
 
 def body_lines(pages: DataFrame, key: list[str], text: str, model: BodyModel) -> DataFrame:

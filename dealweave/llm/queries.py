@@ -65,14 +65,14 @@ def _pages(spark: SparkSession, root: str) -> DataFrame:
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     """Lines of stored pages that hold visible text of the body."""
     pages = _pages(spark, root)
-    model = mainbody.train_model(pages, "markup")
+    model = mainbody.train_model(pages, ["record_table", "record_id"], "markup")
     return mainbody.body_lines(pages, ["record_table", "record_id"], "markup", model)
 
 
 def p5_bodies(spark: SparkSession, root: str) -> DataFrame:
     """Body text of stored pages."""
     pages = _pages(spark, root)
-    model = mainbody.train_model(pages, "markup")
+    model = mainbody.train_model(pages, ["record_table", "record_id"], "markup")
     return mainbody.body_text(pages, ["record_table", "record_id"], "markup", model)
 
 

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dealweave.llm.samples import hashed_sample
 from dealweave.session import cut_lineage
 
 #: Most texts in the sample on which the line model is fitted.
@@ -327,9 +328,9 @@ def cut_words(pairs: DataFrame, counts: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- findings
 
 
-def _sample_model(texts: DataFrame, text: str, limit: int) -> LineModel:
-    sample = texts.select(F.col(text).alias("t")).filter("t is not null").withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(limit)
-    docs = [r["t"].split("\n") for r in sample.collect()]
+def _sample_model(texts: DataFrame, key: str, text: str, limit: int) -> LineModel:
+    rows = hashed_sample(texts.filter(F.col(text).isNotNull()), [key], [F.col(text).alias("t")], limit)
+    docs = [t.split("\n") for t in sorted(r["t"] for r in rows)]
     return LineModel().fit(docs) if docs else LineModel()
 
 
@@ -347,7 +348,7 @@ def scan_findings(texts: DataFrame, key: str, text: str, train_texts: int = TRAI
         counts.filter("n >= 5").join(bad, "word", "left_anti").orderBy(F.desc("n"), "word").limit(frequent_words).select("word").toPandas()["word"]
     )
     sc = texts.sparkSession.sparkContext
-    shared = sc.broadcast((_sample_model(texts, text, train_texts), frozenset(frequent)))
+    shared = sc.broadcast((_sample_model(texts, key, text, train_texts), frozenset(frequent)))
     key_type = texts.schema[key].dataType.simpleString()
     schema = f"`{key}` {key_type}, line_no bigint, kind string, a string, b string, next_line bigint"
 
