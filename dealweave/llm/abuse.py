@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled documents of each class in the training sample (those with the smallest hashes).
-TRAIN_PER_CLASS = 2500
+#: Most labelled documents without and with abuse in the training sample (those with the smallest hashes).
+TRAIN_PER_CLASS = (2500, 1000)
 #: Most sentences of documents without abuse in the training sample (evenly spaced ones).
-TRAIN_SENTENCES = 25_000
+TRAIN_SENTENCES = 16_000
 GRAMS = (3, 4, 5)
 BITS = 18
 _MASK = (1 << BITS) - 1
@@ -122,7 +122,8 @@ class AbuseModel:
         # One row per distinct (sentence, gram).
         taken = keep[sent]
         keys = np.unique(np.concatenate([sent[taken] * (1 << BITS) + g[taken] for g in gram_ids(s)]))
-        row, col = keys >> BITS, (keys & _MASK).astype(np.int32)
+        del sent, taken
+        row, col = (keys >> BITS).astype(np.int32), (keys & _MASK).astype(np.int32)
         del keys
         n = len(starts)
         heads = np.flatnonzero(np.diff(row, prepend=-1))
@@ -174,12 +175,12 @@ class AbuseModel:
         chosen = np.zeros(len(used), dtype=bool)
         chosen[pos] = chosen[neg] = True
         take = chosen[row]
-        index = np.full(len(used), -1)
+        index = np.full(len(used), -1, dtype=np.int32)
         index[np.flatnonzero(chosen)] = np.arange(chosen.sum())
         r, c = index[row[take]], col[take]
         y = (target[chosen] > 0).astype(float)
         scale = 1 / np.sqrt(np.maximum(counts[chosen], 1))
-        value = ratio[c] * scale[r]
+        value = (ratio[c] * scale[r]).astype(np.float32)
         cw = np.where(y > 0, np.sqrt(len(y) / max(y.sum(), 1)), 1.0)
         w, b = np.full(1 << BITS, 0.3), -1.0
         acc_w, acc_b = np.full(1 << BITS, 1e-6), 1e-6
@@ -216,8 +217,8 @@ class AbuseModel:
         return out
 
 
-def train_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "abusive", per_class: int = TRAIN_PER_CLASS) -> AbuseModel:
-    """Fit on at most ``per_class`` labelled documents of each class, those with the smallest hashes.
+def train_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "abusive", per_class: tuple[int, int] = TRAIN_PER_CLASS) -> AbuseModel:
+    """Fit on at most ``per_class`` labelled documents (without, with abuse), those with the smallest hashes.
 
     A document with contradicting labels counts as abusive; null labels and texts
     are left out.  With labels of one class only, nothing is found.
@@ -225,9 +226,9 @@ def train_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
     known = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter("k is not null and y is not null").groupBy("k").agg(F.max("y").alias("y"))
     picked = None
     for y in (0, 1):
-        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
+        part = known.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class[y])
         picked = part if picked is None else picked.unionByName(part)
-    # At most two classes of per_class keys are broadcast.
+    # At most per_class keys are broadcast.
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(picked), "k").collect()
     sample = sorted((r["k"], r["t"], r["y"]) for r in rows)
     sample = [(t, y) for _, t, y in sample]
