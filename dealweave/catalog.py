@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealweave.plans import integrity
+from dealweave.plans import graph_queries, integrity, text_queries
+
+_MODULES = (integrity, text_queries, graph_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(integrity.QUERIES)
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(integrity.SQL)
+    return {name: q for m in _MODULES for name, q in m.SQL.items()}

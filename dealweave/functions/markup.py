@@ -8,14 +8,18 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Tags that vanish, that break paragraphs, and that close themselves.
 DROPPED = frozenset("script style noscript head meta link".split())
 BLOCKS = frozenset(
-    "p div section article header footer main aside nav h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr blockquote pre hr form fieldset address figure figcaption".split()
+    """
+    div p br tr li h1 h2 h3 h4 h5 h6 table thead tbody tfoot section article header footer aside nav blockquote pre hr address
+    figcaption figure main dd dt dl
+    """.split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_END_MARKS = tuple(".!?;:\n|")
+_NO_BAR_AFTER = tuple(".!?;:\n|")
 
 
 class _Visual(HTMLParser):
@@ -25,24 +29,27 @@ class _Visual(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.hidden: list[str] = []
+        self.broken = False  # whether the last thing written was a paragraph break
 
-    def _block(self) -> None:
-        if self.out and self.out[-1] != "\n\n":
+    def _break(self) -> None:
+        if not self.broken:
             self.out.append("\n\n")
+            self.broken = True
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in DROPPED and tag not in _VOID:
-            self.hidden.append(tag)
-        elif self.hidden:
-            return
-        elif tag == "br":
-            self.out += ["\n"]
-        elif tag in BLOCKS and tag != "tr":
-            self._block()
+        if tag in DROPPED:
+            if tag not in _VOID:
+                self.hidden.append(tag)
+        elif not self.hidden and tag in BLOCKS:
+            self._break()
+            if tag == "br":
+                self.out.append("\n")
+                self.broken = False
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag == "br" and not self.hidden:
-            self.out.append("\n")
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:
@@ -50,16 +57,18 @@ class _Visual(HTMLParser):
                 self.hidden.pop()
         elif tag == "tr":
             self.out.append("\n")
+            self.broken = True
         elif tag in ("td", "th"):
             last = self.out[-1].rstrip() if self.out else ""
-            if last and not last.endswith(_END_MARKS):
+            if last and not last.endswith(_NO_BAR_AFTER):
                 self.out.append(" | ")
-        elif tag in BLOCKS:
-            self._block()
+        elif tag in BLOCKS and tag not in _VOID:
+            self._break()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden and data.strip():
             self.out.append(data)
+            self.broken = False
 
 
 def visual_text(markup: str | None) -> str | None:
@@ -72,7 +81,7 @@ def visual_text(markup: str | None) -> str | None:
     return "".join(parser.out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visual_text_udf(markup: pd.Series) -> pd.Series:
     return markup.map(visual_text, na_action="ignore")
 

@@ -95,7 +95,7 @@ INSTRUMENT_TYPES = (
 
 # Typographic characters and their plain form; the last two vanish.
 TYPOGRAPHIC = "“”„‟‘’‚‛–—―‒     ​﻿"
-PLAIN = "\"\"\"\"''''----     "
+PLAIN = "\"\"\"\"" + "'" * 4 + "-" * 4 + " " * 5
 
 # Endings cut from bank names, each tried once, in this order.
 BANK_ENDINGS = (

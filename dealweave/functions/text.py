@@ -122,11 +122,20 @@ def role_of_label(c: Column) -> Column:
     return lookup(F.lower(F.trim(c)), P.ROLE_LABELS)
 
 
+def _bare(c: Column) -> Column:
+    """Trimmed of all white space, no-break spaces included."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def _single_spaced(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
 def cut_bank_endings(c: Column) -> Column:
     """Bank name without its usual endings, each cut at most once."""
-    name = F.lower(F.trim(c))
+    name = F.lower(_bare(c))
     name = reduce(lambda n, ending: F.regexp_replace(n, _quoted(ending) + "$", ""), P.BANK_ENDINGS, name)
-    return F.trim(F.regexp_replace(name, r"\s+", " "))
+    return _single_spaced(name)
 
 
 def _quoted(text: str) -> str:
@@ -134,15 +143,15 @@ def _quoted(text: str) -> str:
 
 
 def drop_bank_pieces(c: Column) -> Column:
-    name = F.lower(F.trim(c))
+    name = F.lower(_bare(c))
     for piece in P.BANK_PIECES:
         name = F.replace(name, F.lit(piece), F.lit(""))
-    return F.trim(F.regexp_replace(name, r"\s+", " "))
+    return _single_spaced(name)
 
 
 def canonical_role(c: Column) -> Column:
     """Role by contained words; other roles stay, in lower case."""
-    r = F.lower(F.trim(c))
+    r = F.lower(_bare(c))
     has = r.contains
     return (
         F.when(has("bookrunner"), F.when(has("joint"), "joint_bookrunner").otherwise("bookrunner"))
