@@ -26,7 +26,7 @@ TRAIN_SENTENCES = 16_000
 GRAMS = (3, 4, 5)
 BITS = 18
 _MASK = (1 << BITS) - 1
-_STRIDE = 2048  # characters of one document between forced cuts of overlong sentences
+_STRIDE = 2048  # characters after which an overlong sentence is cut
 
 
 def _alphabet() -> np.ndarray:
@@ -57,9 +57,11 @@ _PUNCT_IN_WORD[[ord(c) for c in ".-_"]] = True
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Reduced symbols of all texts in one array, sentence starts in it, and the text of each sentence."""
-    data = np.frombuffer("\n\x00".join(texts).encode("latin-1", "replace"), dtype=np.uint8)
-    if not len(data):
+    if not texts:
         return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    joined = "\x01" + "\x01".join(t.replace("\x01", " ") if "\x01" in t else t for t in texts)
+    data = np.frombuffer(joined.encode("latin-1", "replace"), dtype=np.uint8)
+    head = data == 1
     sym = _TABLE[data]
     letter = (sym > 0) & (sym < 28)
     # Sentences end at a stop followed by white space, and at line ends.
@@ -74,8 +76,8 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sym[tail] = 29
     drop = np.zeros(len(data), dtype=bool)
     drop[1:-1] = _PUNCT_IN_WORD[data[1:-1]] & letter[:-2] & letter[2:]
-    sym[data == 0] = 0
-    doc = np.cumsum(data == 0)
+    sym[head] = 0
+    doc = np.cumsum(head) - 1
     keep = np.flatnonzero(~drop)
     s, e, d = sym[keep], ends[keep], doc[keep]
     # Close up runs of one symbol.
@@ -85,11 +87,19 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = e.copy()
     cut[:1] = True
     cut[1:] |= d[1:] != d[:-1]
-    cut[::_STRIDE] = True
     starts = np.flatnonzero(cut)
+    # Overlong sentences are cut at fixed distances from their start.
+    offset = np.arange(len(s)) - np.repeat(starts, np.diff(np.append(starts, len(s))))
+    starts = np.flatnonzero(offset % _STRIDE == 0)
     return s, starts, d[starts]
 
 
+def _crossing(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Positions whose n-gram would run over the end of their sentence."""
+    ends = np.append(starts[1:], size)
+    return np.concatenate([np.maximum(ends - k, starts) for k in range(1, n)])
+
+
 def gram_ids(s: np.ndarray) -> Iterator[np.ndarray]:
     """Hash of the n-gram that begins at each position, for every n (shorter at the end of the array)."""
     h = np.zeros(len(s), dtype=np.uint32)
@@ -121,7 +131,13 @@ class AbuseModel:
             keep[plain[np.linspace(0, len(plain) - 1, TRAIN_SENTENCES).astype(np.int64)]] = True
         # One row per distinct (sentence, gram).
         taken = keep[sent]
-        keys = np.unique(np.concatenate([sent[taken] * (1 << BITS) + g[taken] for g in gram_ids(s)]))
+        parts = []
+        for n_gram, g in zip(GRAMS, gram_ids(s)):
+            whole = taken.copy()
+            whole[_crossing(starts, len(s), n_gram)] = False
+            parts.append(sent[whole] * (1 << BITS) + g[whole])
+        keys = np.unique(np.concatenate(parts))
+        del parts
         del sent, taken
         row, col = (keys >> BITS).astype(np.int32), (keys & _MASK).astype(np.int32)
         del keys
@@ -207,8 +223,10 @@ class AbuseModel:
             s, starts, owner = symbols(texts[at:end])
             if len(s):
                 total = np.zeros(len(s), dtype=np.float32)
-                for g in gram_ids(s):
-                    total += self.weight[g]
+                for n_gram, g in zip(GRAMS, gram_ids(s)):
+                    part = self.weight[g]
+                    part[_crossing(starts, len(s), n_gram)] = 0
+                    total += part
                 length = np.diff(np.append(starts, len(s)))
                 value = np.add.reduceat(total.astype(np.float64), starts) / np.sqrt(np.maximum(length * len(GRAMS), 1)) + self.bias
                 value[length < 8] = -20

@@ -62,9 +62,10 @@ class BKTree:
     """BK-tree whose nodes are [form, payloads, children by distance]."""
 
     def __init__(self, metric: Callable[[str, str], int] = true_damerau):
-        self.metric, self.root = metric, None
+        self.metric, self.root, self.longest = metric, None, 0
 
     def add(self, form: str, payload: str) -> None:
+        self.longest = max(self.longest, len(form))
         if self.root is None:
             self.root = [form, {payload}, {}]
             return
@@ -81,6 +82,9 @@ class BKTree:
 
     def within(self, form: str, limit: int) -> list[tuple[int, str, str]]:
         """All (distance, form, payload) at most ``limit`` away."""
+        # The length difference bounds the distance from below.
+        if len(form) - limit > self.longest:
+            return []
         found, todo = [], [self.root] if self.root else []
         while todo:
             node = todo.pop()

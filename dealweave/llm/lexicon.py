@@ -104,24 +104,35 @@ def strip_legal(words: list[str]) -> list[str]:
 
 
 def osa_within(a: str, b: str, limit: int) -> int:
-    """Edit distance with adjacent swaps, or ``limit + 1`` once it is sure to be larger."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
+    """Edit distance with adjacent swaps, or ``limit + 1`` once it is sure to be larger.
+
+    Only the band of cells that can stay within the limit is computed.
+    """
+    n, m, far = len(a), len(b), limit + 1
+    if abs(n - m) > limit:
+        return far
     if a == b:
         return 0
     before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        nxt = [i]
-        for j, y in enumerate(b, 1):
-            v = min(row[j] + 1, nxt[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            nxt.append(v)
-        if min(nxt) > limit and (not row or min(row) > limit):
-            return limit + 1
+    row = [min(j, far) for j in range(m + 1)]
+    for i in range(1, n + 1):
+        x = a[i - 1]
+        nxt = [far] * (m + 1)
+        if i <= limit:
+            nxt[0] = i
+        low = nxt[0]
+        for j in range(max(1, i - limit), min(m, i + limit) + 1):
+            y = b[j - 1]
+            v = min(row[j] + 1, nxt[j - 1] + 1, row[j - 1] + (x != y), far)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < v:
+                v = before[j - 2] + 1
+            nxt[j] = v
+            if v < low:
+                low = v
+        if low > limit and min(row) > limit:
+            return far
         before, row = row, nxt
-    return min(row[-1], limit + 1)
+    return min(row[m], far)
 
 
 def true_damerau(a: str, b: str) -> int:

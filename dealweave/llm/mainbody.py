@@ -39,14 +39,15 @@ SITE_WORDS = frozenset(
 BODY_TAGS = frozenset("main article".split())
 BODY_WORDS = frozenset("content article story main body post entry text filing document".split())
 
+_INSIDE = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL
+    rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|textarea)\b{_INSIDE}>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)({_INSIDE})>|([^<]+|<)",
+    re.DOTALL | re.IGNORECASE,
 )
 _ATTR = re.compile(r"(class|id|role)\s*=\s*[\"']?([^\"'>]*)", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("head title script style noscript template svg iframe object select textarea".split())
-_RAW = frozenset("script style textarea title".split())
 _SELF_CLOSING = frozenset("li p tr option dt dd".split())
 _INLINE = frozenset("a b i em strong font span u small sup sub br".split())
 
@@ -64,13 +65,12 @@ class Page:
         self.mark = [0]  # 1: named as site, 2: named as body, 3: has no attribute words
         self.link = [0]  # 1: link away from the page, 2: link inside it
         self.chunks: list[tuple[int, str, int]] = []  # element, text, line
-        stack, hidden, line, pos = [0], 0, 0, 0
-        raw_until = None
+        stack, hidden, line = [0], 0, 0
         for m in _TOKEN.finditer(markup):
-            text = m.group(4)
-            name = m.group(2)
+            text = m.group(5)
+            name = m.group(3)
             if text is not None:
-                if not hidden and raw_until is None:
+                if not hidden:
                     top = stack[-1]
                     if "\n" in text:
                         for k, part in enumerate(text.split("\n")):
@@ -84,11 +84,7 @@ class Page:
                 line += m.group(0).count("\n")
                 continue
             name = name.lower()
-            if raw_until is not None and not (m.group(1) and name == raw_until):
-                line += m.group(0).count("\n")
-                continue
-            raw_until = None
-            if m.group(1):
+            if m.group(2):
                 for k in range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == name:
                         for gone in stack[k:]:
@@ -97,7 +93,7 @@ class Page:
                         del stack[k:]
                         break
             else:
-                attrs = m.group(3)
+                attrs = m.group(4)
                 top = self.tag[stack[-1]]
                 if len(stack) > 1 and ((top == name and name in _SELF_CLOSING) or (name in ("td", "th") and top in ("td", "th") and self.tag[stack[-2]] == "tr")):
                     gone = stack.pop()
@@ -120,8 +116,6 @@ class Page:
                 if name not in _VOID and not attrs.endswith("/"):
                     stack.append(node)
                     hidden += name in _HIDDEN
-                    if name in _RAW:
-                        raw_until = name
             line += m.group(0).count("\n")
         for k in stack:
             self.end[k] = len(self.tag)

@@ -37,6 +37,18 @@ def _encoder(path: str):
     return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: Characters of a text without white space that are encoded at once; byte-pair merging is slow on endless words.
+PIECE_CHARS = 4_096
+
+
+def count_tokens(text: str, tokenizer: str) -> int:
+    """Tokens of a text; words longer than ``PIECE_CHARS`` are counted in pieces of that size."""
+    encode = _encoder(tokenizer).encode_ordinary
+    if len(text) <= PIECE_CHARS or max(map(len, text.split()), default=0) <= PIECE_CHARS:
+        return len(encode(text))
+    return sum(len(encode(text[i : i + PIECE_CHARS])) for i in range(0, len(text), PIECE_CHARS))
+
+
 def default_tokenizer() -> str:
     """Path of the byte-level vocabulary that comes with the public tokenizer files."""
     import public_tokenizers
@@ -49,10 +61,9 @@ def token_counts(docs: DataFrame, key: str, text: str, tokenizer: str, keep: lis
     schema = T.StructType([docs.schema[c] for c in (key, *keep)] + [T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoder(tokenizer).encode_ordinary
         for pdf in batches:
             out = pdf.drop(columns="_text")
-            out["n_tokens"] = [len(encode(t)) if t else 0 for t in pdf["_text"]]
+            out["n_tokens"] = [count_tokens(t, tokenizer) if t else 0 for t in pdf["_text"]]
             yield out
 
     return docs.select(key, *keep, F.col(text).alias("_text")).mapInPandas(run, schema)

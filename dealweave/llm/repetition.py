@@ -57,7 +57,7 @@ def _measure(texts: list[str], min_words: int) -> list[tuple[int, int, float, in
         while width < min_words:
             step = min(width, min_words - width)
             nxt = np.full(n, -1, dtype=np.int64)
-            nxt[: n - step] = ranks[step:]
+            nxt[: max(n - step, 0)] = ranks[step:]
             ranks, counts = _dense(ranks * (n + 1) + nxt + 1)
             width += step
         # A passage must end inside its document.

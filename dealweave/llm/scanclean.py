@@ -39,8 +39,9 @@ _SYMBOLS = "!+05@19"
 _SYMBOL_MAP = str.maketrans("!+05@19", "itosalg")
 
 _TOKEN = re.compile(r"[\w!+@]+(?:['’][\w!+@]+)*(?:-[\w!+@]+)*")
-_CUT = re.compile(r"([\w!+@]+)-[ \t]*$")
-_CUT_PAIR = re.compile(r"[\w!+@-]+-[ \t]*\n\s*[\w!+@-]+")
+# The look-behinds keep a long run from being tried again at each of its characters.
+_CUT = re.compile(r"(?<![\w!+@])([\w!+@]+)-[ \t]*$")
+_CUT_PAIR = re.compile(r"(?<![\w!+@-])[\w!+@-]+-[ \t]*\n\s*[\w!+@-]+")
 _FIRST = re.compile(r"^\s*([\w!+@]+)")
 _PAGE = re.compile(
     r"^\s*(?:[\[(]\s*\d{1,4}\s*[\])]|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}|[A-Z]-\d{1,4}|[ivxlc!1]{1,7}|p[a@][g9][ec]\s+\d{1,4}(?:\s*(?:[o0]f|/)\s*\d{1,4})?)\s*$",
@@ -86,9 +87,8 @@ def clean_token(token: str) -> str:
 def skeleton(line: str) -> str:
     """A line with confusable characters made equal, so that misread copies of it agree."""
     s = line.strip().lower().translate(str.maketrans("!+05@19", "itosalg"))
-    for seen, meant in CONFUSIONS:
-        if len(seen) == 2:
-            s = s.replace(seen, meant)
+    for seen, meant in (("li", "h"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w")):
+        s = s.replace(seen, meant)
     return re.sub(r"\s+", " ", s.replace("c", "e"))
 
 

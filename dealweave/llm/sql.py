@@ -2,6 +2,21 @@
 
 from __future__ import annotations
 
+_P2 = """with w as (select id, regexp_extract_all(lower(visual_text), '[\\p{L}\\p{N}\\p{M}_]+') as ws from exhibits where visual_text is not null),
+g as (select id, i, array_to_string(ws[i:i+7], ' ') as gram from (select id, ws, unnest(generate_series(1, len(ws) - 7)) as i from w where len(ws) >= 8)),
+s as (select id, i from (select id, i, min(i) over (partition by id, gram) as first from g) where i > first),
+c as (select id, count(*) as covered from (select distinct id, unnest(generate_series(i, i + 7)) as at from s) group by 1),
+p as (select w.id, len(ws) as n_words, coalesce(covered, 0) as covered from w left join c on c.id = w.id)
+"""
+_P8 = """with d as (select doc_id, regexp_extract_all(regexp_replace(lower(text), '[''’­]', '', 'g'), '[\\p{L}\\p{N}]+') as ws from documents where text is not null),
+e as (select item_id, regexp_extract_all(regexp_replace(lower(text), '[''’­]', '', 'g'), '[\\p{L}\\p{N}]+') as ws from eval_items where text is not null),
+dg as (select doc_id, array_to_string(ws[i:i+11], ' ') as gram from (select doc_id, ws, unnest(generate_series(1, len(ws) - 11)) as i from d where len(ws) >= 12)),
+eg as (select item_id, array_to_string(ws[i:i+11], ' ') as gram from (select item_id, ws, unnest(generate_series(1, len(ws) - 11)) as i from e where len(ws) >= 12))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": _P2 + "select id as exhibit_id from p where n_words > 0 and covered / n_words >= 0.3",
+        "p8_found": _P8 + "select distinct doc_id, item_id from dg join eg using (gram)",
+    }
