@@ -22,9 +22,13 @@ def _like(columns: tuple[str, ...], text: str) -> Column:
     return out
 
 
-def _page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
+def _check_page(skip: int, limit: int) -> None:
     if not 1 <= limit <= LARGEST_PAGE or skip < 0:
         raise ValueError(f"limit must lie between 1 and {LARGEST_PAGE}, skip must not be negative")
+
+
+def _page(df: DataFrame, order: list[Column], skip: int, limit: int) -> DataFrame:
+    _check_page(skip, limit)
     return df.orderBy(*order).offset(skip).limit(limit)
 
 
@@ -42,6 +46,7 @@ def list_deals(
     limit: int = 50,
 ) -> DataFrame:
     """A page of deals, latest announcement first, without announcement last; ties by id."""
+    _check_page(skip, limit)
     if text:
         deals = deals.filter(_like(SEARCHED, text))
     for column, value in (("is_sponsor_backed", sponsor_backed), ("market_tag", market_tag), ("state", state)):
