@@ -210,8 +210,9 @@ def map_to_reference(
     or without any letter or digit is ``UNMATCHED``.  Other columns of
     ``values`` are not read.  An empty reference leaves all values unmatched.
     """
-    distinct = values.select(F.col(value).alias("raw_value")).filter("raw_value is not null").distinct()
     sc = values.sparkSession.sparkContext
+    # The few distinct values are cheap to move and dear to look up: spread them over all cores.
+    distinct = values.select(F.col(value).alias("raw_value")).filter("raw_value is not null").distinct().repartition(max(2 * sc.defaultParallelism, 16))
     source, parts = iter(entries), []
     while True:
         block = list(islice(source, shard_forms))
