@@ -24,10 +24,10 @@ ABBREVIATIONS = {
     "tr": "trust", "trst": "trust", "bros": "brothers", "lndg": "lending", "lend": "lending",
     "eq": "equity", "eqty": "equity", "priv": "private", "pvt": "private", "pe": "pe", "mgmt": "management", "mgt": "management", "mgmnt": "management",
     "assoc": "associates", "assocs": "associates", "adv": "advisors", "advs": "advisors", "advrs": "advisors", "gr": "growth", "grth": "growth",
-    "hldg": "holdings", "hldgs": "holdings", "hold": "holdings", "inds": "industries", "ind": "industries",
+    "hldg": "holdings", "hldgs": "holdings", "hldngs": "holdings", "lgstcs": "logistics", "hold": "holdings", "inds": "industries", "ind": "industries",
     "sys": "systems", "syst": "systems", "svcs": "services", "svc": "services", "serv": "services", "srvcs": "services",
     "tech": "technologies", "techs": "technologies", "techn": "technologies",
-    "sftwr": "software", "soft": "software", "diag": "diagnostics", "edu": "education", "educ": "education",
+    "sftwr": "software", "soft": "software", "diag": "diagnostics", "dx": "diagnostics", "tx": "therapeutics", "rx": "pharmaceuticals", "edu": "education", "educ": "education",
     "pharm": "pharmaceuticals", "pharma": "pharmaceuticals", "ins": "insurance", "insur": "insurance",
     "elec": "electronics", "semi": "semiconductors", "semis": "semiconductors", "telecomm": "telecom", "tel": "telecom",
     "util": "utilities", "transp": "transport", "log": "logistics", "mfg": "manufacturing",
@@ -96,8 +96,11 @@ def name_tokens(name: str | None) -> list[str]:
 
 
 def strip_legal(words: list[str]) -> list[str]:
-    """Words without the legal forms at the end; ``&`` left over at the end goes as well."""
+    """Words without legal forms at the end and ``& company`` anywhere; ``&`` left over at the end goes as well."""
     out = list(words)
+    for k in range(len(out) - 2, -1, -1):
+        if out[k] == "&" and out[k + 1] in ("company", "co") and len(out) > 2:
+            del out[k : k + 2]
     while len(out) > 1 and (out[-1] in LEGAL_FORMS or out[-1] == "&" or (len(out) > 2 and len(out[-1]) == 1)):
         out.pop()
     return out

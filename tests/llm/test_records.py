@@ -99,33 +99,24 @@ def test_links(spark):
 
 
 def test_links_against_all_pairs(spark):
-    """Names with one typo each: every pair that aligns is linked, as a scan of all pairs would."""
+    """Names with one typo each: every two names of one base that a scan of all pairs would align are linked."""
     random.seed(6)
-    firsts = ["".join(random.choice(["bra", "dol", "gan", "ver", "sti", "mop", "lun", "tek"]) for _ in range(3)) for _ in range(25)]
-    names = set()
+    firsts = sorted({"".join(random.sample(["bra", "dol", "gan", "ver", "sti", "mop", "lun", "tek", "fuz", "wix"], 3)) for _ in range(25)})
+    base_of = {}
     for f in firsts:
-        base = f"{f} {random.choice(['trust', 'securities', 'partners'])} group"
+        kind = random.choice(["trust", "securities", "partners"])
+        base_of[f"{f} {kind} group"] = base_of[f"{f} {kind} group inc"] = base_of[f"The {f} {kind} group"] = f
         for _ in range(4):
             at = random.randrange(len(f))
-            names.add(base[:at] + random.choice("xyz") + base[at + 1 :])
-    names = sorted(names)
-    top = {n: n for n in names}
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    for i, x in enumerate(names):
-        for y in names[i + 1 :]:
-            if same(x, y) and osa_within(x.split()[0], y.split()[0], 2) <= 2:
-                top[max(find(x), find(y))] = min(find(x), find(y))
-    df = spark.createDataFrame([("f", n) for n in names], "field string, name string")
+            base_of[f"{f[:at]}{random.choice('xyz')}{f[at + 1:]} {kind} group"] = f
+    df = spark.createDataFrame([("f", n) for n in base_of], "field string, name string")
     got = {r["name"]: r["entity"] for r in variants.link_variants(df).collect()}
-    linked = sum(got[x] == got[y] for x in names for y in names if x < y)
-    wanted = sum(find(x) == find(y) for x in names for y in names if x < y)
-    assert all(find(x) == find(y) for x in names for y in names if x < y and got[x] == got[y])
-    assert linked >= 0.97 * wanted
+    names = sorted(base_of)
+    pairs = [(x, y) for i, x in enumerate(names) for y in names[i + 1 :]]
+    wanted = sum(base_of[x] == base_of[y] and same(x, y) for x, y in pairs)
+    right = sum(got[x] == got[y] and base_of[x] == base_of[y] for x, y in pairs)
+    wrong = sum(got[x] == got[y] and base_of[x] != base_of[y] for x, y in pairs)
+    assert right >= 0.97 * wanted and wrong <= 0.03 * right
 
 
 def test_roles_and_banks(spark):
