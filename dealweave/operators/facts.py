@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from dealweave.functions import patterns as P
 from dealweave.functions import text as X
+from dealweave.functions.markup import visual_text_udf
+from dealweave.session import cut_lineage
 
 _MASK = re.compile(r"\([^()]*\)")
 _SEPARATOR = re.compile(
@@ -155,15 +157,27 @@ def exhibit_class(kind: Column) -> Column:
     return F.when(code == "2", "EX-2").when(code == "10", "EX-10").when(code == "99", "EX-99")
 
 
+def with_text(docs: DataFrame, keep: list[Column], markup: str) -> DataFrame:
+    """The kept columns and ``t``: the stored visual text, or the text of the markup where none is stored.
+
+    Derived texts are written once, because several extractors read them.
+    """
+    stored = F.coalesce(F.col("visual_text"), F.lit("")) != ""
+    made = docs.filter(~stored & (F.col(markup) != "")).select(*keep, X.normalize_text(visual_text_udf(markup)).alias("t"))
+    return docs.filter(stored).select(*keep, F.col("visual_text").alias("t")).unionByName(cut_lineage(made))
+
+
 def extract_facts(filings: DataFrame, exhibits: DataFrame) -> DataFrame:
     """All facts of 8-K bodies and exhibits: (fact_type, filing_id, exhibit_id, name, value, evidence_snippet, confidence).
 
     ``name`` is the party, sponsor, instrument, bank or date kind, ``value`` its
-    role, source, amount or date.  Each document yields facts on its own, so the
-    plan is a union of narrow stages without a shuffle.
+    role, source, amount or date.  Documents without stored visual text are read
+    from their markup.  Each document yields facts on its own; only instruments
+    and underwriters of one document are joined.
     """
-    body = filings.filter(is_form(F.col("form_type")) & F.col("visual_text").isNotNull()).select(F.col("id").alias("filing_id"), F.lit(None).cast("bigint").alias("exhibit_id"), F.col("visual_text").alias("t"))
-    kinds = exhibits.filter(F.col("visual_text").isNotNull()).select("filing_id", F.col("id").alias("exhibit_id"), F.col("visual_text").alias("t"), "description", exhibit_class(F.col("exhibit_type")).alias("kind"))
+    body = with_text(filings.filter(is_form(F.col("form_type"))), [F.col("id").alias("filing_id"), F.lit(None).cast("bigint").alias("exhibit_id")], "raw_html")
+    kind = exhibit_class(F.col("exhibit_type"))
+    kinds = with_text(exhibits.filter(kind.isNotNull()), [F.col("filing_id"), F.col("id").alias("exhibit_id"), F.col("description"), kind.alias("kind")], "raw_content")
     ids = F.struct("filing_id", "exhibit_id").alias("k")
 
     def shaped(df: DataFrame, kind: str, name: str, value: str, evidence: str, confidence: str | Column) -> DataFrame:
