@@ -132,19 +132,35 @@ def financing_facts(docs: DataFrame, key: str, text: str, window: int = 200) ->
 
 def underwriter_facts(docs: DataFrame, key: str, text: str, window: int = 150) -> DataFrame:
     """Underwriters named in purchase agreements, with the role their surroundings tell."""
+    return _placed_underwriters(docs, key, text, window).drop("place")
 
-    def part(pattern: str) -> DataFrame:
+
+def _placed_underwriters(docs: DataFrame, key: str, text: str, window: int = 150) -> DataFrame:
+    """Underwriters with their place: pattern, start of the match, position in it."""
+
+    def part(number: int, pattern: str) -> DataFrame:
         c = F.col(text)
         x = docs.filter(c.rlike(pattern)).select(key, c.alias("_t"), F.explode(X.spans(c, pattern)).alias("m"))
         around = X.context(F.col("_t"), F.col("m.start"), F.length("m.text"), window)
         names = F.split(F.regexp_extract("m.text", pattern, 1), r"(?i)\s+and\s+|,\s*")
-        return x.select(key, F.explode(names).alias("n"), around.alias("evidence_snippet")).withColumn("name_raw", F.trim("n")).drop("n")
+        each = x.select(key, F.col("m.start").alias("start"), F.posexplode(names).alias("position", "n"), around.alias("evidence_snippet"))
+        return each.select(key, F.struct(F.lit(number).alias("pattern"), "start", "position").alias("place"), "evidence_snippet", F.trim("n").alias("name_raw"))
 
-    both = part(P.UNDERWRITERS).unionByName(part(P.UNDERWRITERS_SIMPLE))
+    both = part(1, P.UNDERWRITERS).unionByName(part(2, P.UNDERWRITERS_SIMPLE))
     low = F.lower("evidence_snippet")
     role = F.when(low.contains("lead") | low.contains("book-running"), "lead_manager").when(low.contains("representative"), "representative").otherwise("underwriter")
     kept = both.filter((F.length("name_raw") >= 3) & ~F.lower("name_raw").isin("the", "as", "of", "several", "representatives"))
-    return kept.select(key, "name_raw", F.lower("name_raw").alias("name_normalized"), role.alias("role"), "evidence_snippet", F.lit(0.85).alias("confidence"))
+    return kept.select(key, "name_raw", F.lower("name_raw").alias("name_normalized"), role.alias("role"), "evidence_snippet", F.lit(0.85).alias("confidence"), "place")
+
+
+_PARTICIPANTS = "array<struct<bank:string,bank_normalized:string,role:string,evidence:string>>"
+
+
+def participants_of(banks: DataFrame, key: str) -> DataFrame:
+    """(key, participants): all underwriters of a document in the order of their places."""
+    one = F.struct("place", F.col("name_raw").alias("bank"), F.col("name_normalized").alias("bank_normalized"), "role", F.substring("evidence_snippet", 1, 200).alias("evidence"))
+    ordered = F.array_sort(F.collect_list(one))
+    return banks.groupBy(key).agg(F.transform(ordered, lambda x: x.dropFields("place")).alias("participants"))
 
 
 def is_form(form: Column) -> Column:
@@ -168,10 +184,11 @@ def with_text(docs: DataFrame, keep: list[Column], markup: str) -> DataFrame:
 
 
 def extract_facts(filings: DataFrame, exhibits: DataFrame) -> DataFrame:
-    """All facts of 8-K bodies and exhibits: (fact_type, filing_id, exhibit_id, name, value, evidence_snippet, confidence).
+    """All facts of 8-K bodies and exhibits: (fact_type, filing_id, exhibit_id, name, value, evidence_snippet, confidence, participants).
 
     ``name`` is the party, sponsor, instrument, bank or date kind, ``value`` its
-    role, source, amount or date.  Documents without stored visual text are read
+    role, source, amount or date.  ``participants`` of a FINANCING_MENTION are all
+    underwriters of its document; other facts have none.  Documents without stored visual text are read
     from their markup.  Each document yields facts on its own; only instruments
     and underwriters of one document are joined.
     """
@@ -182,19 +199,20 @@ def extract_facts(filings: DataFrame, exhibits: DataFrame) -> DataFrame:
 
     def shaped(df: DataFrame, kind: str, name: str, value: str, evidence: str, confidence: str | Column) -> DataFrame:
         conf = F.col(confidence) if isinstance(confidence, str) else confidence
-        return df.select(F.lit(kind).alias("fact_type"), "k.filing_id", "k.exhibit_id", F.col(name).alias("name"), F.col(value).cast("string").alias("value"), F.col(evidence).alias("evidence_snippet"), conf.alias("confidence"))
+        return df.select(F.lit(kind).alias("fact_type"), "k.filing_id", "k.exhibit_id", F.col(name).alias("name"), F.col(value).cast("string").alias("value"), F.col(evidence).alias("evidence_snippet"), conf.alias("confidence"), F.col("participants") if "participants" in df.columns else F.lit(None).cast(_PARTICIPANTS).alias("participants"))
 
     merger = kinds.filter("kind = 'EX-2'").select(ids, "t")
     material = kinds.filter((F.col("kind") == "EX-99") | ((F.col("kind") == "EX-10") & F.lower("description").rlike("commitment|equity"))).select(ids, "t")
     events = body.filter(F.col("t").rlike(P.ITEM_801) | F.col("t").rlike(P.PURCHASE_AGREEMENT)).select(ids, "t")
-    debt, banks = financing_facts(events, "k", "t"), underwriter_facts(events, "k", "t")
+    debt, banks = financing_facts(events, "k", "t"), _placed_underwriters(events, "k", "t")
+    financed = debt.join(participants_of(banks, "k"), "k", "left").withColumn("participants", F.coalesce("participants", F.array().cast(_PARTICIPANTS)))
     alone = banks.join(debt.select("k").distinct(), "k", "left_anti")
     dated = events.unionByName(body.filter(F.col("t").rlike(P.ITEM_101) & F.col("t").rlike(P.DEFINITIVE_AGREEMENT)).select(ids, "t")).unionByName(merger)
     dates = dated.select("k", F.lit("agreement_date").alias("n"), X.agreement_date(F.col("t")).alias("v")).filter("v is not null").distinct()
     return (
         shaped(party_facts(merger, "k", "t"), "PARTY_DEFINITION", "party_name_raw", "role_label", "party_name_raw", "confidence")
         .unionByName(shaped(sponsor_facts(material, "k", "t"), "SPONSOR_MENTION", "sponsor_name_raw", "source_pattern", "context_snippet", "confidence"))
-        .unionByName(shaped(debt, "FINANCING_MENTION", "instrument_type", "amount_usd", "evidence_snippet", "confidence"))
+        .unionByName(shaped(financed, "FINANCING_MENTION", "instrument_type", "amount_usd", "evidence_snippet", "confidence"))
         .unionByName(shaped(alone, "ADVISOR_MENTION", "name_raw", "role", "evidence_snippet", "confidence"))
         .unionByName(shaped(dates, "DEAL_DATE", "n", "v", "v", F.lit(0.9)))
     )

@@ -21,3 +21,14 @@ def test_facts_of_documents_without_stored_text(spark):
     )).collect()
     assert sorted(r["filing_id"] for r in got if r["fact_type"] == "FINANCING_MENTION") == [1, 2, 3]
     assert {r["exhibit_id"] for r in got if r["fact_type"] == "SPONSOR_MENTION"} == {7}
+
+
+def test_financing_facts_carry_the_underwriters_of_their_document(spark):
+    deal = " It entered into a purchase agreement with Zeta Bank and Acme Securities, as representatives of the several underwriters."
+    f, e = pages(spark, [(1, "8-K", None, NOTES + deal + " It drew a $20 million term loan."), (2, "8-K", None, deal), (3, "8-K", None, NOTES)])
+    got = facts.extract_facts(f, e).collect()
+    financing = [(r["filing_id"], [(p["bank"], p["bank_normalized"], p["role"]) for p in r["participants"]]) for r in got if r["fact_type"] == "FINANCING_MENTION"]
+    both = [("Zeta Bank", "zeta bank", "representative"), ("Acme Securities", "acme securities", "representative")]
+    assert sorted(financing) == [(1, both), (1, both), (3, [])]
+    alone = [(r["filing_id"], r["name"], r["participants"]) for r in got if r["fact_type"] == "ADVISOR_MENTION"]
+    assert sorted(alone) == [(2, "Acme Securities", None), (2, "Zeta Bank", None)]
