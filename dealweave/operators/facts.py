@@ -69,6 +69,15 @@ def party_facts(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def party_mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, party_name_raw, role_label, evidence_snippet, confidence) of the party list in announcements."""
+    head = X.preamble(F.col(text))
+    span = F.coalesce(X.first_group(head, P.PARTY_LIST), X.first_group(head, P.PARTY_LIST_ALT))
+    listed = docs.select(key, span.alias("span")).filter("span is not null")
+    parties = listed.select(key, F.substring("span", 1, 500).alias("evidence_snippet"), split_parties_udf("span").alias("parties"))
+    return parties.select(key, F.explode("parties").alias("party_name_raw"), F.lit("Unknown").alias("role_label"), "evidence_snippet", F.lit(0.7).alias("confidence"))
+
+
 def missing_party_alerts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, preamble_hash, preamble_preview) of merger agreements whose parties were not found."""
     head = X.preamble(F.col(text))
@@ -207,10 +216,12 @@ def extract_facts(filings: DataFrame, exhibits: DataFrame) -> DataFrame:
     debt, banks = financing_facts(events, "k", "t"), _placed_underwriters(events, "k", "t")
     financed = debt.join(participants_of(banks, "k"), "k", "left").withColumn("participants", F.coalesce("participants", F.array().cast(_PARTICIPANTS)))
     alone = banks.join(debt.select("k").distinct(), "k", "left_anti")
-    dated = events.unionByName(body.filter(F.col("t").rlike(P.ITEM_101) & F.col("t").rlike(P.DEFINITIVE_AGREEMENT)).select(ids, "t")).unionByName(merger)
+    announced = body.filter(F.col("t").rlike(P.ITEM_101) & F.col("t").rlike(P.DEFINITIVE_AGREEMENT)).select(ids, "t")
+    dated = events.unionByName(announced).unionByName(merger)
     dates = dated.select("k", F.lit("agreement_date").alias("n"), X.agreement_date(F.col("t")).alias("v")).filter("v is not null").distinct()
     return (
         shaped(party_facts(merger, "k", "t"), "PARTY_DEFINITION", "party_name_raw", "role_label", "party_name_raw", "confidence")
+        .unionByName(shaped(party_mentions(announced, "k", "t"), "PARTY_MENTION", "party_name_raw", "role_label", "evidence_snippet", "confidence"))
         .unionByName(shaped(sponsor_facts(material, "k", "t"), "SPONSOR_MENTION", "sponsor_name_raw", "source_pattern", "context_snippet", "confidence"))
         .unionByName(shaped(financed, "FINANCING_MENTION", "instrument_type", "amount_usd", "evidence_snippet", "confidence"))
         .unionByName(shaped(alone, "ADVISOR_MENTION", "name_raw", "role", "evidence_snippet", "confidence"))

@@ -32,3 +32,14 @@ def test_financing_facts_carry_the_underwriters_of_their_document(spark):
     assert sorted(financing) == [(1, both), (1, both), (3, [])]
     alone = [(r["filing_id"], r["name"], r["participants"]) for r in got if r["fact_type"] == "ADVISOR_MENTION"]
     assert sorted(alone) == [(2, "Acme Securities", None), (2, "Zeta Bank", None)]
+
+
+def test_parties_of_announcements(spark):
+    item = "Item 1.01 Entry into a Material Definitive Agreement. "
+    parties = "Alpha Foods, Inc. (a Delaware corporation), and Beta Rail Corp."
+    deal = "It entered into a definitive agreement, dated as of May 2, 2024, by and among " + parties
+    f, e = pages(spark, [(1, "8-K", None, item + deal), (2, "8-K", None, deal), (3, "8-K", None, item + "by and among " + parties), (4, "8-K", f"<p>{item}{deal}</p>", None), (5, "8-K", None, item + deal.replace("by and", "x" * 5000 + " by and"))])
+    got = [r for r in facts.extract_facts(f, e).collect() if r["fact_type"] == "PARTY_MENTION"]
+    names = ["Alpha Foods, Inc. (a Delaware corporation)", "Beta Rail Corp"]
+    assert sorted((r["filing_id"], r["name"]) for r in got) == [(i, n) for i in (1, 4) for n in names]
+    assert {(r["value"], r["confidence"], r["evidence_snippet"]) for r in got} == {("Unknown", 0.7, parties[:-1])}
