@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealweave.functions import patterns as P
-from dealweave.functions.fuzzy import ratio_udf
+from dealweave.functions.fuzzy import ratio
 
 
 def scope_of(exhibit: Column, filing: Column) -> Column:
@@ -96,22 +100,69 @@ def merge_deals(facts: DataFrame, deals: DataFrame, merges: DataFrame) -> tuple[
     return moved, deals.join(m.select(F.col("deal_id").alias("id")), "id", "left_anti").select(deals.columns)
 
 
+#: Names of one length that are compared as a block, and places that their bigrams are counted in.
+BLOCK_NAMES, BIGRAM_PLACES = 1_000, 256
+
+
+def _bigram_counts(names: list[str]) -> np.ndarray:
+    """Counts of bigrams, each occurrence on its own, folded into fixed places."""
+    out = np.zeros((len(names), BIGRAM_PLACES), dtype=np.float32)
+    for i, name in enumerate(names):
+        seen: dict[str, int] = {}
+        for j in range(len(name) - 1):
+            two = name[j : j + 2]
+            n = seen[two] = seen.get(two, 0) + 1
+            out[i, (ord(two[0]) * 961 + ord(two[1]) * 31 + n) % BIGRAM_PLACES] += 1
+    return out
+
+
+def near_in_blocks(one: list[str], two: list[str], least: float) -> Iterator[tuple[str, str, float]]:
+    """Pairs (smaller, larger, ratio) of different names of two blocks with a ratio above ``least``.
+
+    With a common subsequence of L characters, names of a and b characters share
+    at least 3 L - 1 - a - b bigrams: its L - 1 steps, less those that skip a
+    character of either. The product of folded counts is never below the shared
+    number, so no pair above ``least`` is passed over.
+    """
+    a, b = np.array([len(x) for x in one], dtype=np.float64), np.array([len(x) for x in two], dtype=np.float64)
+    total = a[:, None] + b[None, :]
+    need = 3 * least / 200 * total - 1 - total
+    possible = (200 * np.minimum(a[:, None], b[None, :]) > least * total) & (_bigram_counts(one) @ _bigram_counts(two).T >= need - 1e-6)
+    for i, j in zip(*np.nonzero(possible)):
+        x, y = one[i], two[j]
+        if x != y and (r := ratio(x, y)) > least:
+            yield min(x, y), max(x, y), r
+
+
+def near_names(names: DataFrame, least: float) -> DataFrame:
+    """(name, other, similarity) of all pairs of distinct names above ``least``, once each with name < other.
+
+    All blocks whose lengths allow the similarity meet, so the work grows with the square of the distinct names.
+    """
+    sized = names.select("name", F.length("name").alias("len"))
+    chunks = sized.groupBy("len").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NAMES).alias("chunks"))
+    blocks = sized.join(chunks, "len").groupBy("len", F.pmod(F.xxhash64("name"), F.col("chunks")).alias("chunk")).agg(F.collect_list("name").alias("names"))
+    a, b = (blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in ("len", "chunk", "names")]) for x in "ab")
+    ordered = F.struct("len_a", "chunk_a") <= F.struct("len_b", "chunk_b")
+    met = a.join(b, ordered & (F.col("len_a") * (200 - least) >= F.col("len_b") * least)).select("names_a", "names_b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {r for x, y in zip(pdf["names_a"], pdf["names_b"]) for r in near_in_blocks(list(x), list(y), least)}
+            yield pd.DataFrame(list(rows), columns=["name", "other", "similarity"])
+
+    spread = met.repartition(int(names.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInPandas(run, "name string, other string, similarity double").distinct()
+
+
 def merge_candidates(deals: DataFrame, least: float = 85.0) -> DataFrame:
     """(deal_a, deal_b, similarity): deals of different keys whose target names are more alike than ``least``.
 
-    Distinct names are compared when they share one of their two rarest words and
-    their lengths allow the similarity; then deals are joined to the names.
+    All distinct names whose lengths allow the similarity are compared; then deals are joined to the names.
     """
     d = deals.filter("target_name_normalized is not null and deal_key is not null").select("id", "deal_key", F.lower("target_name_normalized").alias("name"))
     names = d.select("name").distinct()
-    words = names.select("name", F.explode(F.array_distinct(F.split("name", r"[^\p{L}\p{N}]+"))).alias("word")).filter("word <> ''")
-    n = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("n", "word"))
-    keys = words.join(n, "word").withColumn("r", rank).filter("r <= 2").select("word", "name")
-    pairs = keys.join(keys.withColumnRenamed("name", "other"), "word").filter("name < other").select("name", "other").distinct()
-    bound = least / (200 - least)
-    la, lb = F.length("name"), F.length("other")
-    near = pairs.filter(F.least(la, lb) >= bound * F.greatest(la, lb)).withColumn("similarity", ratio_udf("name", "other")).filter(F.col("similarity") > least)
+    near = near_names(names, least)
     same = names.select("name", F.col("name").alias("other"), F.lit(100.0).alias("similarity"))
     a, b = d.select(F.col("id").alias("deal_a"), F.col("deal_key").alias("key_a"), "name"), d.select(F.col("id").alias("deal_b"), F.col("deal_key").alias("key_b"), F.col("name").alias("other"))
     out = near.unionByName(near.select(F.col("other").alias("name"), F.col("name").alias("other"), "similarity")).unionByName(same)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from dealweave.operators import facts
+import random
+
+from dealweave.functions.fuzzy import ratio
+from dealweave.operators import cluster, facts
 
 NOTES = "Item 8.01 Other Events. On May 2 it sold $500 million aggregate principal amount of 5.25% Senior Notes due 2030."
 
@@ -43,3 +46,15 @@ def test_parties_of_announcements(spark):
     names = ["Alpha Foods, Inc. (a Delaware corporation)", "Beta Rail Corp"]
     assert sorted((r["filing_id"], r["name"]) for r in got) == [(i, n) for i in (1, 4) for n in names]
     assert {(r["value"], r["confidence"], r["evidence_snippet"]) for r in got} == {("Unknown", 0.7, parties[:-1])}
+
+
+def test_candidates_are_all_pairs(spark):
+    names = ["ferfutru rail holdings", "ferfutrurail holdings", "kubepen resins holdings", "kubrpen rrsins holdings", "ab", "a", "", "rail holdings"]
+    rng = random.Random(3)
+    for base in ["northwind steel", "halden foods group", "omega"] * 12:
+        at = rng.randrange(len(base))
+        names.append(base[:at] + rng.choice("xyz e") * rng.randrange(3) + base[at + rng.randrange(3) :])
+    deals = spark.createDataFrame([(i, f"k{i}", n) for i, n in enumerate(names)], "id bigint, deal_key string, target_name_normalized string")
+    for least in (85.0, 60.0):
+        want = {(i, j, ratio(x, y)) for i, x in enumerate(names) for j, y in enumerate(names) if i < j and ratio(x, y) > least}
+        assert {tuple(r) for r in cluster.merge_candidates(deals, least).collect()} == want
