@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dealweave.functions import patterns as P
-from dealweave.functions.markup import cells_of
 from dealweave.operators import cluster, facts, reconcile, resolve, tables
-from dealweave.plans.text_queries import _endings_sql, _pieces_sql, _ROLE_SQL
+from dealweave.plans.text_queries import _endings_sql, _pieces_sql, _ROLE_SQL, stored_cells
 from dealweave.session import read_table
 
 
@@ -34,13 +33,13 @@ def f3_missing_parties(spark: SparkSession, root: str) -> DataFrame:
 
 
 def h6_bank_roles(spark: SparkSession, root: str) -> DataFrame:
-    cells = cells_of(read_table(spark, root, "filings"), "id", "raw_html").withColumnRenamed("id", "key")
-    return tables.bank_roles(cells)
+    roles = tables.bank_roles(stored_cells(spark, root))
+    return roles.select("key.record_table", F.col("key.id").alias("key"), *roles.columns[1:])
 
 
 def h4_column_kinds(spark: SparkSession, root: str) -> DataFrame:
-    cells = cells_of(read_table(spark, root, "filings"), "id", "raw_html").withColumnRenamed("id", "key")
-    return tables.column_kinds(cells)
+    kinds = tables.column_kinds(stored_cells(spark, root))
+    return kinds.select("key.record_table", F.col("key.id").alias("key"), *kinds.columns[1:])
 
 
 def c3_party_clusters(spark: SparkSession, root: str) -> DataFrame:

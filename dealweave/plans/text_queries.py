@@ -11,9 +11,22 @@ from dealweave.functions.markup import cells_of, visual_text_udf
 from dealweave.session import read_table
 
 
+def stored_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(record_table, id, markup) of filings and exhibits; ids are of their table."""
+    one = read_table(spark, root, "filings").select(F.lit("filings").alias("record_table"), "id", F.col("raw_html").alias("markup"))
+    return one.unionByName(read_table(spark, root, "exhibits").select(F.lit("exhibits").alias("record_table"), "id", F.col("raw_content").alias("markup")))
+
+
+def stored_cells(spark: SparkSession, root: str) -> DataFrame:
+    """Grid places of every table of the stored pages; ``key`` is (record_table, id)."""
+    pages = stored_pages(spark, root)
+    of = lambda t: cells_of(pages.filter(F.col("record_table") == t), "id", "markup").withColumn("key", F.struct(F.lit(t).alias("record_table"), "id")).drop("id")
+    return of("filings").unionByName(of("exhibits"))
+
+
 def t1_visual_text(spark: SparkSession, root: str) -> DataFrame:
     """Visible text of every stored page."""
-    return read_table(spark, root, "filings").select("id", X.normalize_text(visual_text_udf("raw_html")).alias("visual_text")).filter("visual_text is not null")
+    return stored_pages(spark, root).select("record_table", "id", X.normalize_text(visual_text_udf("markup")).alias("visual_text")).filter("visual_text is not null")
 
 
 def t2_normalized_text(spark: SparkSession, root: str) -> DataFrame:
@@ -110,7 +123,7 @@ def m6_roles(spark: SparkSession, root: str) -> DataFrame:
 
 def h1_table_cells(spark: SparkSession, root: str) -> DataFrame:
     """Grid places of every table of the stored pages."""
-    return cells_of(read_table(spark, root, "filings"), "id", "raw_html")
+    return stored_cells(spark, root).select("key.record_table", "key.id", "table_no", "row_no", "col_no", "text", "is_header")
 
 
 def _sql(pattern: str) -> str:

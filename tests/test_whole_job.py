@@ -6,6 +6,7 @@ import random
 
 from dealweave.functions.fuzzy import ratio
 from dealweave.operators import cluster, facts
+from dealweave.plans import graph_queries, text_queries
 
 NOTES = "Item 8.01 Other Events. On May 2 it sold $500 million aggregate principal amount of 5.25% Senior Notes due 2030."
 
@@ -58,3 +59,15 @@ def test_candidates_are_all_pairs(spark):
     for least in (85.0, 60.0):
         want = {(i, j, ratio(x, y)) for i, x in enumerate(names) for j, y in enumerate(names) if i < j and ratio(x, y) > least}
         assert {tuple(r) for r in cluster.merge_candidates(deals, least).collect()} == want
+
+
+def test_pages_of_exhibits_are_read_too(spark, tmp_path):
+    page = "<p>Lenders</p><table><tr><th>Name</th><th>Role</th></tr><tr><td>Goldman Sachs</td><td>Arranger</td></tr></table>"
+    root = str(tmp_path)
+    spark.createDataFrame([(1, page), (2, None)], "id bigint, raw_html string").write.parquet(f"{root}/filings.parquet")
+    spark.createDataFrame([(1, page), (3, page)], "id bigint, raw_content string").write.parquet(f"{root}/exhibits.parquet")
+    want = [("exhibits", 1), ("exhibits", 3), ("filings", 1)]
+    assert sorted((r["record_table"], r["id"]) for r in text_queries.t1_visual_text(spark, root).collect()) == want
+    assert sorted({(r["record_table"], r["id"]) for r in text_queries.h1_table_cells(spark, root).collect()}) == want
+    assert sorted((r["record_table"], r["key"]) for r in graph_queries.h6_bank_roles(spark, root).collect()) == want
+    assert sorted({(r["record_table"], r["key"]) for r in graph_queries.h4_column_kinds(spark, root).collect()}) == want
