@@ -97,10 +97,15 @@ def name_tokens(name: str | None) -> list[str]:
 
 def strip_legal(words: list[str]) -> list[str]:
     """Words without legal forms at the end and ``& company`` anywhere; ``&`` left over at the end goes as well."""
-    out = list(words)
-    for k in range(len(out) - 2, -1, -1):
-        if out[k] == "&" and out[k + 1] in ("company", "co") and len(out) > 2:
-            del out[k : k + 2]
+    out: list[str] = []
+    at = 0
+    while at < len(words):
+        if len(words) > 2 and words[at] == "&" and words[at + 1 : at + 2] in (["company"], ["co"]):
+            at += 2
+        else:
+            out.append(words[at])
+            at += 1
+    out = out or list(words[:1])
     while len(out) > 1 and (out[-1] in LEGAL_FORMS or out[-1] == "&" or (len(out) > 2 and len(out[-1]) == 1)):
         out.pop()
     return out
