@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dealweave.session import cut_lineage
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
     """One row (node, component) per distinct node; the component is its smallest node.
 
     Min-label propagation with pointer jumping: each round takes the smallest
@@ -23,7 +23,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     labels = nodes.select(F.col(node).alias("n")).filter("n is not null").distinct().withColumn("l", F.col("n"))
     linked = both.select(F.col("a").alias("n")).distinct()
     labels = cut_lineage(labels.join(linked, "n", "left_semi"))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["n"]).groupBy("a").agg(F.min("l").alias("m"))
         step = (
             labels.join(near, labels["n"] == near["a"], "left")

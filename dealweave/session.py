@@ -64,3 +64,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def wide_parallelism(spark: SparkSession) -> int:
+    """Tasks for rows that are few but dear: at least two for each core, at least the shuffle partitions."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
