@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
+
 # Words that state a legal form and do not tell entities apart.
 LEGAL_FORMS = frozenset(
     """
@@ -159,3 +161,78 @@ def true_damerau(a: str, b: str) -> int:
             d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1, d[k][m] + (i - k - 1) + 1 + (j - m - 1))
         seen[x] = i
     return d[-1][-1]
+
+
+def damerau_within(a: str, b: str, limit: int) -> int:
+    """``true_damerau`` if it is at most ``limit``, else ``limit + 1``; only a band around the diagonal is computed."""
+    far = limit + 1
+    if abs(len(a) - len(b)) > limit:
+        return far
+    # rows[i][j] is the distance of the first i and j characters; a transposition reaches back limit rows at most.
+    rows: dict[int, dict[int, int]] = {0: {j: j for j in range(limit + 1)}}
+    for i in range(1, len(a) + 1):
+        row: dict[int, int] = {0: i} if i <= limit else {}
+        above = rows[i - 1]
+        for j in range(max(1, i - limit), min(len(b), i + limit) + 1):
+            v = min(above.get(j, far) + 1, row.get(j - 1, far) + 1, above.get(j - 1, far) + (a[i - 1] != b[j - 1]), far)
+            for k in range(max(1, i - limit), i):
+                if a[k - 1] != b[j - 1]:
+                    continue
+                for m in range(max(1, j - limit), j):
+                    if b[m - 1] == a[i - 1]:
+                        v = min(v, rows[k - 1].get(m - 1, far) + (i - k - 1) + 1 + (j - m - 1))
+            row[j] = v
+        rows[i] = row
+        rows.pop(i - limit - 2, None)
+    return min(rows[len(a)].get(len(b), far), far)
+
+
+def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts in one matrix, padded with zeros, and their lengths."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.zeros((len(texts), int(lengths.max(initial=0))), dtype=np.uint32)
+    for k, t in enumerate(texts):
+        codes[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return codes, lengths
+
+
+#: Cells of distance tables that are filled side by side.
+_CELLS = 2_000_000
+
+
+def damerau_pairs(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    """``true_damerau`` of each pair of coded texts, pairs of like length side by side."""
+    out = np.zeros(len(a), dtype=np.int64)
+    order = np.lexsort((b_len, a_len))
+    start = 0
+    while start < len(order):
+        # The largest table of a run decides how many fit; lengths of a grow, those of b may not.
+        size = max(1, _CELLS // ((int(a_len[order[start]]) + 5) * (int(b_len.max()) + 2)))
+        part = order[start : start + size]
+        part = part[a_len[part] <= a_len[part[0]] + 4]
+        start += len(part)
+        out[part] = _damerau_block(a[part], a_len[part], b[part], b_len[part])
+    return out
+
+
+def _damerau_block(a: np.ndarray, a_len: np.ndarray, b: np.ndarray, b_len: np.ndarray) -> np.ndarray:
+    count, n, m = len(a), int(a_len.max()), int(b_len.max())
+    b = b[:, :m]
+    far = n + m
+    # table[:, i + 1, j + 1] is the distance of the first i and j characters; row and column 0 are out of reach.
+    table = np.full((count, n + 2, m + 2), far, dtype=np.int16)
+    table[:, 1, 1:] = np.arange(m + 1)
+    column = np.arange(1, m + 1)
+    seen = np.zeros((count, m), dtype=np.int64)  # last row whose character is that of each column
+    pair = np.arange(count)[:, None]
+    for i in range(1, n + 1):
+        same = b == a[:, i - 1 : i]
+        last = np.maximum.accumulate(np.where(same, column, 0), axis=1)
+        last = np.concatenate([np.zeros((count, 1), dtype=last.dtype), last[:, :-1]], axis=1)
+        swap = table[pair, seen, last] + (i - seen - 1) + 1 + (column - last - 1)
+        best = np.minimum(np.minimum(table[:, i, 1:-1] + ~same, table[:, i, 2:] + 1), swap)
+        # Insertions run along the row: the least of what stands left of a cell plus the way to it.
+        line = np.concatenate([np.full((count, 1), i), best], axis=1) - np.arange(m + 1)
+        table[:, i + 1, 1:] = np.minimum.accumulate(line, axis=1) + np.arange(m + 1)
+        seen[same] = i
+    return table[np.arange(count), a_len + 1, b_len + 1].astype(np.int64)

@@ -13,7 +13,7 @@ from dealweave.session import read_table
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """Survivor of every transaction with several deals records."""
-    return survivors.surviving_deals(read_table(spark, root, "deals")).select("deal_id").distinct()
+    return survivors.survivor_ids(read_table(spark, root, "deals")).select("deal_id").distinct()
 
 
 def p1_survivors(spark: SparkSession, root: str) -> DataFrame:

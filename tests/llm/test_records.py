@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import random
 
 from hypothesis import given, settings
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dealweave.llm import canonical, survivors, variants
-from dealweave.llm.lexicon import name_tokens, osa_within, strip_legal, true_damerau
+from dealweave.llm.lexicon import damerau_pairs, damerau_within, encode, name_tokens, osa_within, strip_legal, true_damerau
 
 D = dt.datetime
 
@@ -39,29 +40,83 @@ def test_true_metric(a, b, c):
     assert true_damerau(a, c) <= true_damerau(a, b) + true_damerau(b, c)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(short, min_size=1, max_size=25), short, st.integers(0, 3))
-def test_tree_equals_scan(words, probe, limit):
-    tree = canonical.BKTree()
-    for w in words:
-        tree.add(w, w)
-    assert sorted(tree.within(probe, limit)) == sorted((d, w, w) for w in set(words) if (d := true_damerau(probe, w)) <= limit)
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("abcd", max_size=9), st.text("abcd", max_size=9)), min_size=1, max_size=12), st.integers(0, 4))
+def test_banded_and_vector_metric(pairs, limit):
+    left, right = encode([a for a, _ in pairs]), encode([b for _, b in pairs])
+    assert damerau_pairs(*left, *right).tolist() == [true_damerau(a, b) for a, b in pairs]
+    assert [damerau_within(a, b, limit) for a, b in pairs] == [min(true_damerau(a, b), limit + 1) for a, b in pairs]
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(short, min_size=1, max_size=25), st.lists(short, max_size=4), st.integers(0, 3))
+def test_tree_equals_scan(words, probes, limit):
+    words = [*words, "ab" * 150, "ba" * 150]
+    probes = [*probes, "ab" * 149 + "b", "x" * 5000]
+    tree = canonical.BKTree([(w, w) for w in words])
+    wanted = [sorted((d, w) for w in set(words) if (d := damerau_within(p, w, limit)) <= limit) for p in probes]
+    assert [sorted(found) for found in tree.within(probes, [limit] * len(probes))] == wanted
+
+
+def test_near_words_equal_scan(spark):
+    """Two deletions find every pair within the edits allowed, one deletion every pair within one edit."""
+    random.seed(4)
+    letters = "abcdefgh"
+    words = {"".join(random.choice(letters) for _ in range(n)) for n in (2, 3, 4, 5, 6, 7, 8, 9, 12, 30, 31, 32, 33, 34, 50) for _ in range(6)}
+    for w in sorted(words):
+        for _ in range(2):
+            x = list(w)
+            for _ in range(random.randint(1, 2)):
+                at = random.randrange(len(x))
+                match random.randint(0, 3):
+                    case 0:
+                        x[at] = random.choice(letters)
+                    case 1 if len(x) > 2:
+                        del x[at]
+                    case 2 if at:
+                        x[at - 1], x[at] = x[at], x[at - 1]
+                    case _:
+                        x.insert(at, random.choice(letters))
+            words.add("".join(x))
+    words = sorted(w for w in words if len(w) > 1)
+    df = spark.createDataFrame([("f", w) for w in words] + [("g", "abcdefgh"), ("g", ""), ("g", "a")], "field string, word string")
+    two = {(r["word"], r["other"]) for r in variants.near_words(df, ["field"], 2).collect()}
+    one = {(r["word"], r["other"]) for r in variants.near_words(df, ["field"], 1).collect()}
+    within = {(a, b): brute_osa(a, b) for a in words for b in words if a != b and abs(len(a) - len(b)) < 3}
+    assert two == {p for p, d in within.items() if d <= variants.edits_allowed(*p)}
+    assert one <= two and {p for p in two if within[p] == 1} <= one
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["&", "and", "co", "company", "inc", "x", "corp", "the", ",", "A.", "N.A.", "(1)", ""]), max_size=7))
+def test_no_name_raises(parts):
+    name = " ".join(parts)
+    words = name_tokens(name)
+    assert bool(strip_legal(words)) == bool(words)
+    variants.words_of_name(name), variants.anchor_words(name), variants.brief_keys(name), variants.brief_probe(name), variants.is_formal(name)
+    canonical.bank_forms(name), canonical.role_forms(name), canonical.bank_entries(name, name), canonical.role_entries(name, name)
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.one_of(st.text("abcdef", min_size=7, max_size=10), st.text("abc", min_size=31, max_size=36)), st.data())
-def test_near_words_share_a_deletion(word, data):
-    other = list(word)
-    for _ in range(data.draw(st.integers(0, 2))):
-        at = data.draw(st.integers(0, len(other) - 1))
-        match data.draw(st.integers(0, 2)):
-            case 0:
-                other[at] = data.draw(st.sampled_from("abcdef"))
-            case 1 if len(other) > 7:
-                del other[at]
-            case _:
-                other.insert(at, "f")
-    assert variants.deletes(word) & variants.deletes("".join(other))
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40))
+def test_no_text_raises(name):
+    variants.words_of_name(name), variants.anchor_words(name), variants.brief_keys(name), variants.brief_probe(name), variants.is_formal(name)
+    canonical.bank_forms(name), canonical.role_forms(name)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 5).flatmap(lambda n: st.lists(st.lists(st.sampled_from([0.0, 0.25, 0.5, 1.0, 2.0, 1e6]), min_size=n, max_size=n), min_size=n, max_size=n)))
+def test_assignment_is_least(cost):
+    n = len(cost)
+    assert abs(variants.assignment(cost) - min(sum(cost[i][p[i]] for i in range(n)) for p in itertools.permutations(range(n)))) < 1e-6
+
+
+def test_long_names_align():
+    words = "alpha bravo charlie delta echo foxtrot golf hotel india juliet".split()
+    assert variants.align_cost(tuple(words), tuple(reversed(words))) == 0.0
+    assert variants.align_cost(tuple(words), (*reversed(words[1:]), "alphs")) == 1.0
+    assert variants.align_cost(tuple("abcdefghijklmnopqrst") + ("river", "bank"), ("river", "bank")) == 0.25
+    assert variants.align_cost(tuple(f"w{k}x" for k in range(3000)), tuple(f"v{k}y" for k in range(3000))) is None
 
 
 def test_tokens():
@@ -129,8 +184,9 @@ def test_roles_and_banks(spark):
     }
     banks = spark.createDataFrame([(1, "Moligard Trust Company plc", "Moligard"), (2, "Mupastead National Bank, Inc.", "Mupastead"), (3, "Mupastead Securities International AG", "Mupastead")], "id bigint, name string, short_name string")
     names = spark.createDataFrame([(n, 0) for n in ("Moligard Trst Co", "Mupastead Natl Bk", "Mupastead Secs Int'l", "Mupastead", "Other Trust Company", "MSI AG", "x" * 5000)], "n string, raw_value int")
+    entries = canonical.reference_forms(banks, F.col("id"), ["name", "short_name"], canonical.bank_entries)
     for size in (20_000, 3):
-        found = canonical.map_to_reference(names, "n", canonical.stream_entries(banks, [F.col("id").cast("string"), "name", "short_name"], canonical.bank_entries), canonical.bank_forms, size)
+        found = canonical.map_to_reference(names, "n", entries, canonical.bank_forms, size)
         assert {r["raw_value"][:30]: r["canonical_id"] for r in found.collect()} == {
             "Moligard Trst Co": "1", "Mupastead Natl Bk": "2", "Mupastead Secs Int'l": "3", "Mupastead": "UNMATCHED", "Other Trust Company": "UNMATCHED", "MSI AG": "3", "x" * 30: "UNMATCHED",
         }
@@ -190,3 +246,32 @@ def test_truth_follows_reliable_sources(spark):
     assert won[100] == "right" and all(won[g] == f"t{g}" for g in range(40)) and 101 not in won
     w = {r["source"]: r["weight"] for r in weights.collect()}
     assert w["good"] > w["bad"]
+
+
+def test_truth_beats_majority(spark):
+    """One careful source against four careless ones that share their usual mistakes."""
+    random.seed(11)
+    sources = {"careful": 0.97, "a": 0.45, "b": 0.45, "c": 0.4, "d": 0.4}
+    rows, right = [], {}
+    for g in range(400):
+        right[g] = f"v{random.randrange(50)}"
+        for s, accuracy in sources.items():
+            rows.append((g, s, right[g] if random.random() < accuracy else f"{right[g]}-usual-{random.randrange(2)}"))
+    df = spark.createDataFrame(rows, "g int, s string, v string")
+    truth, weights = survivors.discover_truth(df, "g", "s", ["v"])
+    found = {r["g"]: r["value"] for r in truth.collect()}
+    by_truth = sum(found[g] == v for g, v in right.items())
+    votes = df.groupBy("g", "v").count().groupBy("g").agg(F.max_by("v", F.struct("count", F.length("v"))).alias("v"))
+    by_majority = sum(right[r["g"]] == r["v"] for r in votes.collect())
+    w = {r["source"]: r["weight"] for r in weights.collect()}
+    assert by_truth >= 0.95 * 400 and by_truth > by_majority + 40 and max(w, key=w.get) == "careful"
+
+
+def test_one_group_and_days(spark):
+    """A group of all records is aggregated, and attempts split only where more than a week lies between."""
+    d = D(2024, 1, 1, 23, 0)
+    rows = [deal(i, ac="1", tc="2", when=d + dt.timedelta(days=k)) for i, k in enumerate([0, 6.9, 13.8, 20.9, 20.9, 28.5])]
+    got: dict[str, set[int]] = {}
+    for r in survivors.transaction_groups(spark.createDataFrame(rows, DEALS)).collect():
+        got.setdefault(r["transaction"], set()).add(r["id"])
+    assert sorted(map(sorted, got.values())) == [[0, 1, 2], [3, 4], [5]]
