@@ -1,17 +1,20 @@
 """References to records that do not exist, kept as incremental keyed state.
 
 The state is one row per orphan reference: who refers to which missing key of
-which parent table, since when, and - once the parent came - when it was
-resolved.  A batch brings new references, newly arrived parents and deletions:
+which parent table, since when, and - once the parent came too late - when it
+came.  A batch brings new references, newly arrived parents, deleted parents and
+withdrawn references:
 
 * new references probe the parent index by key; those whose parent is absent, or
   came only after the reference was last touched, open an orphan;
-* arriving parents are joined to the pending orphans of their key and resolve them;
+* arriving parents are joined to the waiting orphans of their key: a parent not
+  younger than the reference settles it, a later one marks it resolved;
 * deletions remove keys from the index and reopen the references to them.
 
-Joins are equi-joins on (parent table, key) against a deduplicated index, so a
-key that holds a third of all references is one skewed partition on the
-streamed side only, which AQE splits; nothing is collected.
+After any sequence of batches the state is that of one batch with everything
+still live.  Joins are equi-joins on (parent table, key) against a deduplicated
+index, so a key that holds a third of all references is one skewed partition on
+the streamed side only, which AQE splits; nothing is collected.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ class OrphanState:
     """All three parts of the ledger after a batch."""
 
     orphans: DataFrame  #: STATE_COLUMNS
-    references: DataFrame  #: REFERENCE_COLUMNS, every live reference
+    references: DataFrame  #: REFERENCE_COLUMNS, every live reference once
     parents: DataFrame  #: parent_table, parent_id, arrived_at, dateless
 
 
@@ -63,47 +66,61 @@ def _probe(references: DataFrame, parents: DataFrame) -> DataFrame:
     return joined.filter(F.col("_pid").isNull() | late).select(*REFERENCE_COLUMNS, F.col("arrived_at").alias("resolved_at"))
 
 
+def merge_parents(parents: DataFrame) -> DataFrame:
+    """One index row per parent: its first arrival, and whether some row has no date."""
+    return parents.groupBy("parent_table", "parent_id").agg(F.min("arrived_at").alias("arrived_at"), F.bool_or("dateless").alias("dateless"))
+
+
 def open_state(references: DataFrame, parents: DataFrame) -> OrphanState:
     """State after the first batch, from nothing.
 
     A reference touched at an unknown time is an orphan only if its parent is
-    absent; a parent without a date is present from the start.
+    absent; a parent without a date is present from the start.  Repeated rows of
+    a reference or a parent count once.
     """
-    return OrphanState(_probe(references, parents), references, parents)
-
-
-def advance(state: OrphanState, references: DataFrame | None = None, parents: DataFrame | None = None, deleted: DataFrame | None = None) -> OrphanState:
-    """State after one batch: deletions first, then arrivals, then new references.
-
-    ``deleted`` has (parent_table, parent_id).  A record whose references come
-    again (same record and key) replaces its earlier rows.  Only the orphans and
-    references whose keys occur in the batch change; empty batches change nothing.
+    live, index = references.select(*REFERENCE_COLUMNS).distinct(), merge_parents(parents)
+    return OrphanState(_probe(live, index), live, index)
+
+
+def advance(
+    state: OrphanState,
+    references: DataFrame | None = None,
+    parents: DataFrame | None = None,
+    deleted: DataFrame | None = None,
+    withdrawn: DataFrame | None = None,
+) -> OrphanState:
+    """State after one batch: withdrawals and deletions first, then arrivals, then new references.
+
+    ``deleted`` has (parent_table, parent_id), ``withdrawn`` (record_table,
+    record_id, parent_table, missing_id) of references that no longer hold; a
+    record that changed is withdrawn and comes again.  Only orphans and
+    references whose keys occur in the batch change; empty batches change
+    nothing, and a batch that comes twice changes nothing the second time.
     """
-    orphans, index, live = state.orphans, state.parents, state.references
-    key = ["record_table", "record_id", "parent_table", "missing_id"]
+    orphans, index, live = state.orphans.select(*STATE_COLUMNS), state.parents, state.references
+    key = ["parent_table", "missing_id"]
+    if withdrawn is not None:
+        past = withdrawn.select("record_table", "record_id", *key).distinct()
+        orphans = orphans.join(past, past.columns, "left_anti").select(*STATE_COLUMNS)
+        live = live.join(past, past.columns, "left_anti").select(*REFERENCE_COLUMNS)
     if deleted is not None:
         gone = deleted.select("parent_table", "parent_id").distinct()
         index = index.join(gone, ["parent_table", "parent_id"], "left_anti")
         hit = gone.withColumnRenamed("parent_id", "missing_id")
-        reopened = live.join(hit, ["parent_table", "missing_id"], "left_semi").select(*REFERENCE_COLUMNS)
-        orphans = orphans.join(hit, ["parent_table", "missing_id"], "left_anti").select(*STATE_COLUMNS)
-        orphans = orphans.unionByName(reopened.withColumn("resolved_at", F.lit(None).cast(orphans.schema["resolved_at"].dataType)))
+        reopened = live.join(hit, key, "left_semi").withColumn("resolved_at", F.lit(None).cast(orphans.schema["resolved_at"].dataType))
+        orphans = orphans.join(hit, key, "left_anti").select(*STATE_COLUMNS).unionByName(reopened.select(*STATE_COLUMNS))
     if parents is not None:
-        index = (
-            index.unionByName(parents)
-            .groupBy("parent_table", "parent_id")
-            .agg(F.min("arrived_at").alias("arrived_at"), F.bool_or("dateless").alias("dateless"))
-        )
-        came = parents.select("parent_table", F.col("parent_id").alias("missing_id"), "arrived_at")
-        orphans = (
-            orphans.join(came, ["parent_table", "missing_id"], "left")
-            .withColumn("resolved_at", F.coalesce("resolved_at", "arrived_at"))
-            .select(*STATE_COLUMNS)
-        )
+        fresh = merge_parents(parents)
+        came = fresh.select("parent_table", F.col("parent_id").alias("missing_id"), "arrived_at", "dateless")
+        index = merge_parents(index.unionByName(fresh))
+        waiting = orphans.join(came, key, "left").withColumn("first", F.least("resolved_at", "arrived_at"))
+        settled = F.col("dateless") | F.col("first").isNull() | F.col("referred_at").isNull() | (F.col("first") <= F.col("referred_at"))
+        orphans = waiting.filter(F.col("dateless").isNull() | ~settled).withColumn("resolved_at", F.col("first")).select(*STATE_COLUMNS)
     if references is not None:
-        fresh = references.select(*key).distinct()
-        orphans = orphans.join(fresh, key, "left_anti").select(*STATE_COLUMNS).unionByName(_probe(references, index))
-        live = live.join(fresh, key, "left_anti").select(*REFERENCE_COLUMNS).unionByName(references)
+        fresh = references.select(*REFERENCE_COLUMNS).distinct()
+        # One that is known already probes to the row it has.
+        orphans = orphans.unionByName(_probe(fresh, index)).distinct()
+        live = live.unionByName(fresh).distinct()
     return OrphanState(orphans, live, index)
 
 

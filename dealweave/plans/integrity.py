@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dealweave.operators.orphans import OrphanState, open_state, orphan_counts, orphan_rows, parents_from, references_from
+from dealweave.operators.orphans import OrphanState, advance, open_state, orphan_counts, orphan_rows, parents_from, references_from
 from dealweave.session import read_table
 
+#: Batches of equal spans of time in which the changes reach the state.
+BATCHES = 3
+
 
 def _state(spark: SparkSession, root: str) -> OrphanState:
+    """State after all changes in the order of their dates; those without a date come last."""
     facts, events = read_table(spark, root, "atomic_facts"), read_table(spark, root, "financing_events")
     alerts = read_table(spark, root, "processing_alerts")
     references = (
@@ -21,7 +26,19 @@ def _state(spark: SparkSession, root: str) -> OrphanState:
         .unionByName(parents_from(facts, "atomic_facts", "id", "created_at"))
         .unionByName(parents_from(read_table(spark, root, "exhibits"), "exhibits", "id", "created_at"))
     )
-    return open_state(references.distinct(), parents)
+    span = alerts.select("updated_at").unionByName(facts.select("updated_at")).agg(F.min("updated_at"), F.max("updated_at")).first()
+    if span[0] is None:
+        return open_state(references, parents)
+    edges = [span[0] + (span[1] - span[0]) * k / BATCHES for k in range(1, BATCHES)]
+
+    def batch(df: DataFrame, at: str, k: int) -> DataFrame:
+        number = sum((F.coalesce(F.col(at) > F.lit(str(e)).cast("timestamp_ntz"), F.lit(True)).cast("int") for e in edges), F.lit(0))
+        return df.filter(number == k)
+
+    state = open_state(batch(references, "referred_at", 0), batch(parents, "arrived_at", 0))
+    for k in range(1, BATCHES):
+        state = advance(state, batch(references, "referred_at", k), batch(parents, "arrived_at", k))
+    return state
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:

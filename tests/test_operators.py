@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -38,10 +39,84 @@ def test_orphans_open_resolve_and_reopen(spark):
     assert {r["record_id"]: r["resolved_at"] for r in later.orphans.collect()} == {2: day(9), 3: day(20)}
     gone = advance(later, deleted=spark.createDataFrame([("d", 10), ("d", 10)], "parent_table string, parent_id bigint"))
     assert {r["record_id"] for r in gone.orphans.filter("resolved_at is null").collect()} == {1}
-    more = advance(gone, references=refs(spark, [("f", 1, "d", 10, day(6)), ("f", 9, "d", 11, day(30))]))
+    more = advance(gone, references=refs(spark, [("f", 1, "d", 10, day(5)), ("f", 9, "d", 11, day(30))]))
     assert {r["record_id"] for r in more.orphans.collect()} == {1, 2, 3}
     counts = orphan_counts(more).collect()
     assert sum(r["orphans"] for r in counts) == 3 and sum(r["late"] for r in counts) == 2
+    # A parent older than the reference settles it even if it is delivered later; so does one without a date.
+    state = open_state(refs(spark, [("f", 1, "d", 1, day(5)), ("f", 2, "d", 2, day(5)), ("f", 3, "d", 3, day(5))]), parents(spark, []))
+    came = parents(spark, [("d", 1, day(3)), ("d", 2, None), ("d", 3, day(9)), ("d", 3, day(7)), ("d", 3, day(7))])
+    assert [(r["record_id"], r["resolved_at"]) for r in advance(state, parents=came).orphans.collect()] == [(3, day(7))]
+
+
+def random_changes(rng):
+    """Changes of one history: few records and keys, so that most meet; later ones may repeal earlier ones."""
+    day = lambda: None if rng.random() < 0.15 else D(2024, 1, rng.randint(1, 9))
+    out = []
+    for _ in range(rng.randint(5, 40)):
+        kind = rng.choice(["reference"] * 4 + ["parent"] * 3 + ["delete", "withdraw"])
+        record, table, at = rng.randint(1, 6), rng.choice("de"), day()
+        missing = rng.randint(1, 5)
+        out.append((kind, "f" if kind in ("reference", "withdraw") else None, record if kind in ("reference", "withdraw") else None, table, missing, at if kind in ("reference", "parent") else None))
+    return out
+
+
+def in_batches(rng, changes, most):
+    """Contiguous batches; inside one, withdrawals and deletions take effect before arrivals and references."""
+    cuts = sorted(rng.randint(0, len(changes)) for _ in range(most - 1))
+    return [changes[i:j] for i, j in zip([0, *cuts], [*cuts, len(changes)])]
+
+
+def still_live(batches):
+    references, index = set(), {}
+    for batch in batches:
+        for kind, *row, _ in batch:
+            if kind == "withdraw":
+                references = {r for r in references if r[:4] != tuple(row)}
+            elif kind == "delete":
+                index.pop(tuple(row[2:]), None)
+        for kind, t, r, table, missing, at in batch:
+            if kind == "reference":
+                references.add((t, r, table, missing, at))
+            elif kind == "parent":
+                index.setdefault((table, missing), []).append(at)
+    return references, index
+
+
+def expected_orphans(references, index):
+    out = set()
+    for ref in references:
+        dates = index.get(ref[2:4])
+        if dates is None:
+            out.add((*ref, None))
+        elif None not in dates and ref[4] is not None and min(dates) > ref[4]:
+            out.add((*ref, min(dates)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_state_and_ledger_equal_one_batch(spark, tmp_path, seed):
+    """Any cut of a history into batches ends in the state that what is still live gives at once."""
+    rng = random.Random(seed)
+    batches = in_batches(rng, random_changes(rng), 4)
+    schema = "kind string, record_table string, record_id bigint, parent_table string, missing_id bigint, at timestamp_ntz"
+    ledger = OrphanLedger(spark, str(tmp_path / "state"), buckets=4)
+    state = None
+    for k, batch in enumerate(batches):
+        df = spark.createDataFrame(batch, schema)
+        of = lambda kind: [c[1:] for c in batch if c[0] == kind]  # noqa: B023, E731
+        r, p = refs(spark, of("reference")), parents(spark, [c[2:] for c in of("parent")])
+        if state is None:
+            state = open_state(r, p)
+        else:
+            gone = spark.createDataFrame([c[2:4] for c in of("delete")], "parent_table string, parent_id bigint")
+            past = spark.createDataFrame([c[:4] for c in of("withdraw")], "record_table string, record_id bigint, parent_table string, missing_id bigint")
+            state = advance(state, r, p, gone, past)
+        after = ledger.apply(k, df)
+        if k == len(batches) - 1:
+            wanted = expected_orphans(*still_live(batches))
+            assert {tuple(x) for x in state.orphans.collect()} == wanted
+            assert {tuple(x) for x in after.orphans.collect()} == wanted and after.orphans.count() == len(wanted)
 
 
 def test_orphans_nulls_repeats_empty_and_clashing_columns(spark):
@@ -53,20 +128,25 @@ def test_orphans_nulls_repeats_empty_and_clashing_columns(spark):
     assert orphan_counts(empty).count() == 0
 
 
-def test_ledger_stream_equals_batch(spark, tmp_path):
+def test_ledger_streams_in_batches(spark, tmp_path):
     rows = [
-        ("reference", "f", 1, "d", 10, D(2024, 1, 5)), ("parent", None, None, "d", 11, D(2024, 1, 9)), ("reference", "f", 2, "d", 11, D(2024, 1, 5)),
-        ("reference", "f", 3, "d", 10, None),
+        [("reference", "f", 1, "d", 10, D(2024, 1, 5)), ("parent", None, None, "d", 11, D(2024, 1, 9)), ("reference", "f", 2, "d", 11, D(2024, 1, 5)), ("reference", "f", 3, "d", 10, None), ("delete", None, None, "d", 99, None)],
+        [("parent", None, None, "d", 10, D(2024, 1, 3)), ("odd", None, None, "d", 10, None)],
+        [("delete", None, None, "d", 11, None), ("reference", "f", 4, "d", None, None)],
     ]
     schema = "kind string, record_table string, record_id bigint, parent_table string, missing_id bigint, at timestamp_ntz"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    ledger = OrphanLedger(spark, str(tmp_path / "state"))
-    run_ledger(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ledger, str(tmp_path / "cp")).awaitTermination(60)
-    got = {(r["record_id"], r["resolved_at"]) for r in ledger.load(0).orphans.collect()}
-    assert got == {(1, None), (2, D(2024, 1, 9)), (3, None)}
-    # A replayed batch changes nothing.
-    assert ledger.apply(0, refs(spark, []), parents(spark, [])).orphans.count() == 3
-    assert ledger.load(7) is None
+    ledger, stream = OrphanLedger(spark, str(tmp_path / "state"), buckets=8), spark.readStream.schema(schema)
+    wanted = [{(1, None), (2, D(2024, 1, 9)), (3, None)}, {(2, D(2024, 1, 9))}, {(2, None)}]
+    for k, batch in enumerate(rows):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run_ledger(stream.parquet(str(tmp_path / "in")), ledger, str(tmp_path / "cp")).awaitTermination(120)
+        assert {(r["record_id"], r["resolved_at"]) for r in ledger.load(k).orphans.collect()} == wanted[k]
+    # A replayed batch changes nothing, a gap raises, versions two back are gone, the buckets they share stay.
+    assert ledger.apply(2, spark.createDataFrame(rows[0], schema)).orphans.count() == 1
+    with pytest.raises(ValueError):
+        ledger.apply(7, spark.createDataFrame(rows[0], schema))
+    assert ledger.load(0) is None and ledger.load(1).orphans.count() == 1
+    assert spark.read.parquet(str(tmp_path / "state" / "snapshots")).groupBy("batch").agg(F.sum("orphans").alias("n")).filter("n is not null").count() == 3
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
