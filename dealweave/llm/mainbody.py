@@ -15,6 +15,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -22,10 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.llm.boosting import BoostedTrees
-from dealweave.llm.samples import hashed_sample
+from dealweave.llm.samples import fit_in_task, hashed_sample
 
 #: Most pages in the training sample (those with the smallest hashes).
 TRAIN_PAGES = 800
+#: Longer pages are left out of the sample, so that its size is bounded; they are decoded like all others.
+TRAIN_CHARS = 200_000
+#: Places that attribute words are hashed into.
+ATTRIBUTE_PLACES = 1 << 14
 
 # Tags and attribute words that mark parts of the site around a page's body.
 SITE_TAGS = frozenset("nav footer aside header form".split())
@@ -57,12 +62,13 @@ _KINDS = {"p": 1, "li": 2, "td": 3, "th": 3, "tr": 4, "table": 5, "ul": 6, "ol":
 class Page:
     """Elements of one page in preorder and the visible text chunks with their lines."""
 
-    __slots__ = ("tag", "parent", "end", "depth", "mark", "chunks", "link")
+    __slots__ = ("tag", "parent", "end", "depth", "mark", "chunks", "link", "names")
 
     def __init__(self, markup: str):
         # Element 0 is a root that stands for the page.
         self.tag, self.parent, self.end, self.depth = ["#page"], [-1], [0], [0]
         self.mark = [0]  # 1: named as site, 2: named as body, 3: has no attribute words
+        self.names: list[tuple[int, ...]] = [()]  # hashed words of class, id and role
         self.link = [0]  # 1: link away from the page, 2: link inside it
         self.chunks: list[tuple[int, str, int]] = []  # element, text, line
         stack, hidden, line = [0], 0, 0
@@ -105,14 +111,17 @@ class Page:
                 self.end.append(node + 1)
                 mark = 1 if name in SITE_TAGS else 2 if name in BODY_TAGS else 0
                 link = 0
+                names: tuple[int, ...] = ()
                 if attrs:
+                    words = {w for a in _ATTR.finditer(attrs) for w in _WORD.findall(a.group(2).lower())}
+                    names = tuple(sorted({crc32(w.encode()) % ATTRIBUTE_PLACES for w in words}))
                     if not mark:
-                        words = {w for a in _ATTR.finditer(attrs) for w in _WORD.findall(a.group(2).lower())}
                         mark = 1 if words & SITE_WORDS else 2 if words & BODY_WORDS else 0
                     if name == "a":
                         link = 2 if re.search(r"href\s*=\s*[\"']?#", attrs) else 1
                 self.mark.append(mark)
                 self.link.append(link)
+                self.names.append(names)
                 if name not in _VOID and not attrs.endswith("/"):
                     stack.append(node)
                     hidden += name in _HIDDEN
@@ -124,17 +133,17 @@ class Page:
 FEATURES = (
     "depth", "kind", "site_word", "body_word", "elements", "chars", "words", "away_share", "inside_share", "chars_per_piece", "separators",
     "sentence_share", "lexical", "lexical_low", "digit_share", "index", "siblings", "before_chars", "after_chars", "parent_away", "parent_lexical",
-    "page_share", "page_away", "first_lexical", "position", "lead_lexical",
+    "page_share", "page_away", "first_lexical", "position", "lead_lexical", "attribute", "parent_attribute",
 )
-_SHOWN = (1, 2, 3)  # columns hidden in the second showing of a training element
+_NAMED = (2, 3, 26, 27)  # columns of attribute words, hidden in the second showing of a training element
 
 
 def _visible(text: str) -> str:
     return html.unescape(text).strip() if "&" in text else text.strip()
 
 
-def featurise(page: Page, lexicon: dict[str, float]) -> np.ndarray:
-    """Feature matrix of the page's elements."""
+def featurise(page: Page, lexicon: dict[str, float], naming: np.ndarray) -> np.ndarray:
+    """Feature matrix of the page's elements; ``naming`` weighs the hashed words of their class, id and role."""
     n = len(page.tag)
     own = np.zeros((n, 8))  # chars, words, away chars, inside chars, pieces, separators, ends, lexical
     digits = np.zeros(n)
@@ -209,10 +218,11 @@ def featurise(page: Page, lexicon: dict[str, float]) -> np.ndarray:
         last[p] = k
     siblings = np.array([count.get(p, 1) for p in parent], dtype=float)
     page_chars = max(chars[0], 1)
+    attribute = np.array([naming[list(w)].mean() if w else 0.0 for w in page.names])
     cols = (
         depth, kind, mark == 1, mark == 2, end - start, chars, words, sub[:, 2] / safe, sub[:, 3] / safe, chars / np.maximum(sub[:, 4], 1), sub[:, 5] / np.maximum(sub[:, 4], 1),
         sub[:, 6] / np.maximum(sub[:, 4], 1), lexical, np.minimum(low, 9), sub[:, 8] / safe, order_index, siblings, before, after, (sub[:, 2] / safe)[par], lexical[par],
-        chars / page_chars, np.full(n, sub[0, 2] / page_chars), np.nan_to_num(first), (total[start, 0]) / page_chars, np.nan_to_num(first)[par],
+        chars / page_chars, np.full(n, sub[0, 2] / page_chars), np.nan_to_num(first), (total[start, 0]) / page_chars, np.nan_to_num(first)[par], attribute, attribute[par],
     )
     for j, c in enumerate(cols):
         out[:, j] = c
@@ -249,19 +259,20 @@ class BodyModel:
         parsed = [Page(p) for p in pages]
         labels = [weak_labels(p) for p in parsed]
         self.lexicon = self._words(parsed, labels)
+        self.naming = self._names(parsed, labels)
         rows, ys = [], []
         for page, label in zip(parsed, labels):
             y = np.array(label)
             keep = (y >= 0) & (np.arange(len(y)) > 0) & np.array([t not in _HIDDEN and t not in ("html", "body") for t in page.tag])
             if keep.any():
-                rows.append(featurise(page, self.lexicon)[keep])
+                rows.append(featurise(page, self.lexicon, self.naming)[keep])
                 ys.append(y[keep])
         self.trees = None
         if rows:
             x, y = np.concatenate(rows), np.concatenate(ys).astype(float)
             if 0 < y.sum() < len(y):
                 hidden = x.copy()
-                hidden[:, _SHOWN[1:]] = 0
+                hidden[:, _NAMED] = 0
                 self.trees = BoostedTrees().fit(np.concatenate([x, hidden, hidden]), np.concatenate([y, y, y]))
 
     @staticmethod
@@ -276,12 +287,25 @@ class BodyModel:
         kept = [w for w in body.keys() | site.keys() if body[w] + site[w] >= 3]
         return {w: float(np.clip(np.log((body[w] + 0.5) / nb) - np.log((site[w] + 0.5) / ns), -4, 4)) for w in kept}
 
+    @staticmethod
+    def _names(pages: list[Page], labels: list[list[int]]) -> np.ndarray:
+        """Log odds of each hashed attribute word in body against site elements."""
+        seen = np.zeros((2, ATTRIBUTE_PLACES))
+        for page, label in zip(pages, labels):
+            for y, names in zip(label, page.names):
+                if y >= 0 and names:
+                    seen[y, list(names)] += 1
+        share = (seen + 0.5) / (seen.sum(1, keepdims=True) + 1)
+        odds = np.clip(np.log(share[1]) - np.log(share[0]), -4, 4)
+        odds[seen.sum(0) < 3] = 0
+        return odds
+
     def decode(self, pages: list[Page]) -> list[list[bool]]:
         """For each page, whether each element belongs to the body; pages are scored together."""
         if self.trees is None or not pages:
             return [[True] * len(p.tag) for p in pages]
         sizes = [len(p.tag) for p in pages]
-        odds = self.trees.log_odds(np.concatenate([featurise(p, self.lexicon) for p in pages]))
+        odds = self.trees.log_odds(np.concatenate([featurise(p, self.lexicon, self.naming) for p in pages]))
         cuts = np.cumsum([0, *sizes])
         return [self._decode(p, odds[i:j]) for p, i, j in zip(pages, cuts, cuts[1:])]
 
@@ -322,9 +346,13 @@ class BodyModel:
 
 
 def train_model(pages: DataFrame, key: list[str], text: str, limit: int = TRAIN_PAGES) -> BodyModel:
-    """Fit on at most ``limit`` pages, those whose keys have the smallest hashes."""
-    rows = hashed_sample(pages.filter(F.col(text).isNotNull()), key, [F.col(text).alias("t")], limit)
-    return BodyModel(sorted({r["t"] for r in rows}))
+    """Fit on at most ``limit`` pages, those whose keys have the smallest hashes.
+
+    Pages of over ``TRAIN_CHARS`` characters are not in the sample.  One task
+    reads the pages; only the model reaches the driver.
+    """
+    sample = hashed_sample(pages.filter(F.length(text) <= TRAIN_CHARS), key, limit).select(F.col(text).alias("t")).distinct()
+    return fit_in_task(sample, lambda rows: BodyModel(rows["t"].tolist()))
 
 
 def body_lines(pages: DataFrame, key: list[str], text: str, model: BodyModel) -> DataFrame:

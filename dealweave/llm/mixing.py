@@ -5,8 +5,9 @@ Every record has an exponential key scaled by its quality weight
 sampling.  A source whose share asks for more tokens than it has is used in
 whole epochs first, never more than its cap, and the rest of its budget is a
 fractional selection: the records whose running token count in key order stays
-within it.  Running counts come from a per-bucket prefix, so a source with a
-third of all records is sorted in many tasks.
+within it.  Records are range-partitioned by source and key, so a source with a
+third of all records lies in many partitions of like size whatever its weights,
+and running counts come from the sums of the partitions before.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealweave.session import cut_lineage
+from dealweave.session import cut_lineage, wide_parallelism
 
-#: Buckets per source between whose borders running counts are summed in parallel.
-BUCKETS = 256
+#: Records aimed at in one range partition.
+PARTITION_ROWS = 250_000
 
 
 @lru_cache(maxsize=4)
@@ -37,16 +38,9 @@ def _encoder(path: str):
     return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Characters of a text without white space that are encoded at once; byte-pair merging is slow on endless words.
-PIECE_CHARS = 4_096
-
-
 def count_tokens(text: str, tokenizer: str) -> int:
-    """Tokens of a text; words longer than ``PIECE_CHARS`` are counted in pieces of that size."""
-    encode = _encoder(tokenizer).encode_ordinary
-    if len(text) <= PIECE_CHARS or max(map(len, text.split()), default=0) <= PIECE_CHARS:
-        return len(encode(text))
-    return sum(len(encode(text[i : i + PIECE_CHARS])) for i in range(0, len(text), PIECE_CHARS))
+    """Tokens of a whole text."""
+    return len(_encoder(tokenizer).encode_ordinary(text))
 
 
 def default_tokenizer() -> str:
@@ -69,13 +63,29 @@ def token_counts(docs: DataFrame, key: str, text: str, tokenizer: str, keep: lis
     return docs.select(key, *keep, F.col(text).alias("_text")).mapInPandas(run, schema)
 
 
+def text_quality(text: Column) -> Column:
+    """Weight between 0 and 1: the share of letters and blanks, times how far the different words are as many as in prose.
+
+    n ** 0.8 different words among n count in full, so length alone costs little.  Tables of numbers, markup and repeated wording weigh less;
+    texts without words weigh 0.
+    """
+    letters = F.length(F.regexp_replace(text, r"[^\p{L} \n]+", "")) / F.length(text)
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    different = F.least(F.lit(1.0), F.size(F.array_distinct(words)) / F.pow(F.size(words), F.lit(0.8)))
+    return F.when((F.length(text) > 0) & (F.size(words) > 0), letters * different).otherwise(F.lit(0.0))
+
+
+def _uniform(key: str, seed: int) -> Column:
+    return (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+
+
 def exponential_key(key: str, weight: Column, seed: int) -> Column:
-    """-ln(u) / weight with u drawn from the record's hash: smallest first is weighted sampling.
+    """(last, k): -ln(u) / weight with u drawn from the record's hash; smallest first is weighted sampling.
 
     Records of null, zero or negative weight come last, in hash order.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return F.when(weight > 0, -F.log(u) / weight).otherwise(F.lit(1e18) + u)
+    u = _uniform(key, seed)
+    return F.struct((~F.coalesce(weight > 0, F.lit(False))).alias("last"), F.when(weight > 0, -F.log(u) / weight).otherwise(u).alias("k"))
 
 
 def mix_sources(
@@ -88,31 +98,34 @@ def mix_sources(
     quality: Column | None = None,
     tokenizer: str | None = None,
     seed: int = 17,
-    buckets: int = BUCKETS,
+    partition_rows: int = PARTITION_ROWS,
 ) -> DataFrame:
     """Selected records: (key, source, n_tokens, copies), ``copies`` at least 1.
 
     ``targets`` has (source, target_share, max_repeats).  ``total_tokens`` is the
     size of the mixture; if none is given, it is the largest that every source
     can serve within its cap.  With a larger total, a source at its cap gives
-    all it has and the report shows its smaller share.  Documents with null or
-    unlisted source, null key or no tokens are not selected; targets with null or
-    zero share or cap take none; repeated targets of a source add their shares.
-    Repeated rows of a document are separate records.
+    all it has and the report shows its smaller share.  ``quality`` is the weight
+    of a record (``text_quality`` of its text if none is given).  Documents with
+    null or unlisted source, null key or no tokens are not selected; targets with
+    null or zero share or cap take none; repeated targets of a source add their
+    shares.  Repeated rows of a document are separate records.
     """
+    spark = docs.sparkSession
     plan = (
         targets.groupBy(F.col(source).alias("source"))
         .agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
         .filter("source is not null and share > 0 and cap > 0")
     )
-    weight = F.lit(1.0) if quality is None else quality
+    weight = text_quality(F.col(text)) if quality is None else quality
     listed = docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.col(text).alias("_text"), weight.cast("double").alias("_w"))
     listed = listed.filter("_id is not null").join(plan.select("source"), "source", "left_semi")
     counted = token_counts(listed, "_id", "_text", tokenizer or default_tokenizer(), ["source", "_w"]).filter("n_tokens > 0")
     keyed = cut_lineage(counted.withColumn("_k", exponential_key("_id", F.col("_w"), seed)).drop("_w"))
+    parts = max(wide_parallelism(spark), -(-keyed.count() // partition_rows))
+    # Written once, so that the number of a partition stays that of its rows.
+    keyed = cut_lineage(keyed.repartitionByRange(parts, "source", "_k").withColumn("_b", F.spark_partition_id()))
 
-    # Buckets of keys by rank of their exponential quantile; equal widths of 1 - exp(-k) spread unit weights evenly.
-    keyed = keyed.withColumn("_b", F.least(F.floor((1 - F.exp(-F.col("_k"))) * buckets), F.lit(buckets)).cast("int"))
     sums = keyed.groupBy("source", "_b").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.withColumn("_before", before).select("source", "_b", "_before")

@@ -6,8 +6,8 @@ bounded sample.  Words are judged against the counts of all words of the corpus:
 a word is misread if undoing a usual confusion gives a word that is clearly more
 frequent, and a hyphen at a line end is a cut if the closed word is more
 frequent than the hyphenated one.  Both tests run on distinct words by joins
-with the count table; only the most frequent words, a list of fixed size, are
-broadcast, to leave them out of the search.
+with the count table.  A list of the most frequent words, of fixed size, is
+broadcast to leave them out of the search; it changes the work, not the result.
 """
 
 from __future__ import annotations
@@ -22,34 +22,40 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.llm.samples import hashed_sample
+from dealweave.llm.samples import fit_in_task, hashed_sample
 from dealweave.session import cut_lineage
 
 #: Most texts in the sample on which the line model is fitted.
 TRAIN_TEXTS = 1500
-#: Words in the broadcast list of frequent words.
-FREQUENT_WORDS = 50_000
+#: Longer texts are left out of that sample, so that its size is bounded; they are searched like all others.
+TRAIN_CHARS = 200_000
+#: Words in the broadcast list of frequent words, which spares looking them up.
+FREQUENT_WORDS = 10_000
+#: Occurrences from which a word that nothing speaks against is never judged by its text alone.
+ESTABLISHED = 5
+#: Words above this length are compared by skeleton instead of by all ways to undo confusions.
+LONG_WORD = 40
 
 # What is read -> what stood on the page.
 CONFUSIONS = (
-    ("c", "e"), ("!", "i"), ("+", "t"), ("0", "o"), ("5", "s"), ("@", "a"), ("1", "l"), ("9", "g"),
-    ("cl", "d"), ("ii", "u"), ("rn", "m"), ("li", "h"), ("vv", "w"),
+    ("c", "e"), ("!", "i"), ("+", "t"), ("0", "o"), ("5", "s"), ("@", "a"), ("1", "l"), ("9", "g"), ("8", "b"), ("|", "i"),
+    ("cl", "d"), ("ii", "u"), ("rn", "m"), ("li", "h"), ("vv", "w"), ("\ufb01", "fi"), ("\ufb02", "fl"),
 )
-_SYMBOLS = "!+05@19"
-_SYMBOL_MAP = str.maketrans("!+05@19", "itosalg")
+_SYMBOLS, _LETTERS = "!+05@198|", "itosalgbi"
+_SYMBOL_MAP = str.maketrans(_SYMBOLS, _LETTERS)
 
-_TOKEN = re.compile(r"[\w!+@]+(?:['’][\w!+@]+)*(?:-[\w!+@]+)*")
+_TOKEN = re.compile(r"[\w!+@|]+(?:['’][\w!+@|]+)*(?:-[\w!+@|]+)*")
 # The look-behinds keep a long run from being tried again at each of its characters.
-_CUT = re.compile(r"(?<![\w!+@])([\w!+@]+)-[ \t]*$")
-_CUT_PAIR = re.compile(r"(?<![\w!+@-])[\w!+@-]+-[ \t]*\n\s*[\w!+@-]+")
-_FIRST = re.compile(r"^\s*([\w!+@]+)")
+_CUT = re.compile(r"(?<![\w!+@|])([\w!+@|]+)-[ \t]*$")
+_CUT_PAIR = re.compile(r"(?<![\w!+@|-])[\w!+@|-]+-[ \t]*\n\s*[\w!+@|-]+")
+_FIRST = re.compile(r"^\s*([\w!+@|]+)")
 _PAGE = re.compile(
     r"^\s*(?:[\[(]\s*\d{1,4}\s*[\])]|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}|[A-Z]-\d{1,4}|[ivxlc!1]{1,7}|p[a@][g9][ec]\s+\d{1,4}(?:\s*(?:[o0]f|/)\s*\d{1,4})?)\s*$",
     re.IGNORECASE,
 )
 _MARKER = re.compile(r"\(continu|execution copy|^\s*confidential\b|^\s*(?:exhibit|annex|schedule|appendix)\s+[\w.-]+\s*$", re.IGNORECASE)
 #: Letters, then a symbol that stands for a letter, inside or at an edge of a word.
-_INSIDE = re.compile(r"[^\W\d_][!+0@159][^\W\d_]|^[!+@][^\W\d_]{2}|[^\W\d_]{2}[+@]$")
+_INSIDE = re.compile(r"[^\W\d_][!+0@1589|][^\W\d_]|^[!+@|][^\W\d_]{2}|[^\W\d_]{2}[+@]$")
 
 BODY, HEADER, PAGE, BREAK = range(4)
 LABELS = ("body", "header", "page", "break")
@@ -59,12 +65,13 @@ def undo(word: str, most: int = 2) -> list[str]:
     """The words that may have been read as this lower-case word, up to ``most`` letter confusions undone.
 
     Symbols and digits that stand for letters are always undone, all at once.
+    Words below 7 letters have one letter confusion at most.
     """
     plain = word.translate(_SYMBOL_MAP) if any(c in _SYMBOLS for c in word) else word
     out = [] if plain == word else [plain]
     sites = [(m.start(), seen, meant) for seen, meant in CONFUSIONS if seen.isalpha() for m in re.finditer(f"(?={seen})", plain)]
     for k in range(1, most + 1):
-        if k > 1 and (len(sites) > 8 or len(word) < 7):
+        if k > 1 and len(word) < 7:
             break
         for chosen in combinations(sorted(sites), k):
             text, shift, last = plain, 0, -1
@@ -86,15 +93,17 @@ def clean_token(token: str) -> str:
 
 def skeleton(line: str) -> str:
     """A line with confusable characters made equal, so that misread copies of it agree."""
-    s = line.strip().lower().translate(str.maketrans("!+05@19", "itosalg"))
-    for seen, meant in (("li", "h"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w")):
+    s = line.strip().lower().translate(_SYMBOL_MAP)
+    for seen, meant in (("\ufb01", "fi"), ("\ufb02", "fl"), ("li", "h"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w")):
         s = s.replace(seen, meant)
     return re.sub(r"\s+", " ", s.replace("c", "e"))
 
 
 # ---------------------------------------------------------------- line model
 
-_SIZES = (3, 2, 2, 3, 2, 2, 2, 2)
+_SIZES = (3, 2, 2, 3, 2, 2, 2, 2, 2)
+#: Characters that a line of a printed page seldom exceeds.
+_PAGE_WIDTH = 120
 
 
 def line_features(lines: list[str]) -> np.ndarray:
@@ -105,7 +114,7 @@ def line_features(lines: list[str]) -> np.ndarray:
     if len(solid) < n:
         out[:, 0] = 2
         out[solid, 0] = 0
-    pages = [k for k in solid if len(lines[k]) < 24 and _PAGE.match(lines[k])]
+    pages = [k for k in solid if _PAGE.match(lines[k])]
     lengths = [len(x) for x in lines]
     width = max(lengths, default=0)
     order = {k: i for i, k in enumerate(solid)}
@@ -115,25 +124,20 @@ def line_features(lines: list[str]) -> np.ndarray:
             i = order[k] + step
             if 0 <= i < len(solid):
                 out[solid[i], 2] = 1
-    short = [k for k in solid if lengths[k] <= 90]
-    if width <= 120 or pages:
-        seen = Counter()
-        bones = {}
-        for k in short:
-            bones[k] = skeleton(lines[k])
-            seen[bones[k]] += 1
-        for k, b in bones.items():
-            if seen[b] > 1:
-                out[k, 1] = 1
+    # A text that holds more than a few lines wider than a page was not laid out in pages.
+    if solid and sorted(lengths[k] for k in solid)[9 * len(solid) // 10] > _PAGE_WIDTH:
+        out[:, 8] = 1
+    bones = {k: skeleton(lines[k]) for k in solid}
+    seen = Counter(bones.values())
     for k in solid:
         x = lines[k]
-        head = x.lstrip()[:1]
-        if lengths[k] <= 90:
-            if _MARKER.search(x):
-                out[k, 3] = 1
-            elif x.isupper() and lengths[k] > 8:
-                out[k, 3] = 2
-        out[k, 4] = head.islower()
+        if seen[bones[k]] > 1:
+            out[k, 1] = 1
+        if _MARKER.search(x):
+            out[k, 3] = 1
+        elif x.isupper() and lengths[k] > 8:
+            out[k, 3] = 2
+        out[k, 4] = x.lstrip()[:1].islower()
         out[k, 5] = lengths[k] < 0.75 * width
         out[k, 7] = x.rstrip()[-1] in ".;:"
     if solid:
@@ -155,6 +159,7 @@ class LineModel:
             np.array([[80, 20], [40, 60], [1, 99], [1, 99]]),  # short
             np.array([[98, 2], [75, 25], [90, 10], [90, 10]]),  # first line
             np.array([[75, 25], [95, 5], [99, 1], [99, 1]]),  # ends a sentence
+            np.array([[60, 40], [99.9, 0.1], [90, 10], [60, 40]]),  # in a text wider than pages
         ]
         self.prior_move = np.array([[80, 6, 4, 10], [50, 1, 30, 19], [50, 25, 1, 24], [60, 15, 15, 10]], dtype=float)
         self.prior_start = np.array([60, 25, 5, 10], dtype=float)
@@ -263,30 +268,41 @@ def _suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for word, n in zip(pdf["word"], pdf["n"]):
-            if len(word) < 3 or word.isdigit() or len(word) > 40:
-                continue
             if any(c.isalpha() for c in word):
                 rows += [(word, n, c) for c in dict.fromkeys(undo(word)) if c != word]
         yield pd.DataFrame(rows, columns=["word", "n", "meant"])
 
 
+def _skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(bones=[skeleton(w) for w in pdf["word"]])
+
+
 def misread_words(counts: DataFrame) -> DataFrame:
     """(word, meant): words that undo to a word at least three times as frequent.
 
     A word with a symbol or digit among its letters is misread whatever its
-    reading; without a known reading, the symbols alone are undone.
+    reading; without a known reading, the symbols alone are undone.  Words of
+    over ``LONG_WORD`` characters meet those that are equal once everything
+    confusable is made equal.
     """
-    pairs = counts.mapInPandas(_suspects, "word string, n bigint, meant string")
+    worded = counts.filter((F.length("word") >= 3) & ~F.col("word").rlike("(?U)^\\d+$"))
+    short = worded.filter(F.length("word") <= LONG_WORD).mapInPandas(_suspects, "word string, n bigint, meant string")
+    bones = worded.filter(F.length("word") > LONG_WORD).select("word", "n").mapInPandas(_skeletons, "word string, n bigint, bones string")
+    bones = bones.withColumn("bones", F.sha2("bones", 256))
+    long = bones.join(bones.select("bones", F.col("word").alias("meant")), "bones").filter("word <> meant").select("word", "n", "meant")
+    odd_long = bones.select("word", "n", F.translate("word", _SYMBOLS, _LETTERS).alias("meant")).filter("word <> meant")
+    pairs = short.unionByName(long).unionByName(odd_long).distinct()
     known = counts.select(F.col("word").alias("meant"), F.col("n").alias("m"))
-    shape = r"[^\W\d_][!+0@159][^\W\d_]|^[!+@][^\W\d_]{2}|[^\W\d_]{2}[+@]$"
+    shape = r"[^\W\d_][!+0@1589|][^\W\d_]|^[!+@|][^\W\d_]{2}|[^\W\d_]{2}[+@]$"
     odd = F.col("word").rlike("(?U)" + shape)
     judged = pairs.join(known, "meant", "left").withColumn("odd", odd)
     good = (F.col("m") >= 2) & (F.col("m") >= 3 * F.col("n"))
-    edge = F.col("word").rlike(r"^[05][a-z]{3}|[a-z]{3}[0159]$") & (F.col("m") >= 3)
-    plain = F.translate("word", "!+05@19", "itosalg")
+    edge = F.col("word").rlike(r"^[058][a-z]{3}|[a-z]{3}[01589]$") & (F.col("m") >= 3)
+    plain = F.translate("word", _SYMBOLS, _LETTERS)
     kept = judged.filter(good | edge | F.col("odd"))
     return kept.groupBy("word").agg(
-        F.coalesce(F.max_by("meant", F.when(good | edge, F.col("m"))), F.min(plain)).alias("meant")
+        F.coalesce(F.max_by("meant", F.when(good | edge, F.struct("m", "meant"))), F.min(plain)).alias("meant")
     )
 
 
@@ -295,7 +311,9 @@ def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for a, b in zip(pdf["a"], pdf["b"]):
             for own, whole in ((False, a + b), (True, f"{a}-{b}")):
-                rows += [(a, b, own, k > 0, w) for k, w in enumerate(dict.fromkeys([whole, *undo(whole, 1)]))]
+                # A word too long to be undone is read as it stands.
+                read = dict.fromkeys([whole, *(undo(whole, 1) if len(whole) <= LONG_WORD else ())])
+                rows += [(a, b, own, k > 0, w) for k, w in enumerate(read)]
         yield pd.DataFrame(rows, columns=["a", "b", "own", "undone", "word"])
 
 
@@ -329,9 +347,13 @@ def cut_words(pairs: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _sample_model(texts: DataFrame, key: str, text: str, limit: int) -> LineModel:
-    rows = hashed_sample(texts.filter(F.col(text).isNotNull()), [key], [F.col(text).alias("t")], limit)
-    docs = [t.split("\n") for t in sorted(r["t"] for r in rows)]
-    return LineModel().fit(docs) if docs else LineModel()
+    rows = hashed_sample(texts.filter(F.length(text) <= TRAIN_CHARS), [key], limit).select(F.col(text).alias("t"))
+
+    def fit(sample: pd.DataFrame) -> LineModel:
+        docs = [t.split("\n") for t in sample["t"]]
+        return LineModel().fit(docs) if docs else LineModel()
+
+    return fit_in_task(rows, fit)
 
 
 def scan_findings(texts: DataFrame, key: str, text: str, train_texts: int = TRAIN_TEXTS, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
@@ -344,9 +366,8 @@ def scan_findings(texts: DataFrame, key: str, text: str, train_texts: int = TRAI
     """
     counts = cut_lineage(word_counts(texts, text))
     bad = cut_lineage(misread_words(counts))
-    frequent = (
-        counts.filter("n >= 5").join(bad, "word", "left_anti").orderBy(F.desc("n"), "word").limit(frequent_words).select("word").toPandas()["word"]
-    )
+    settled = counts.filter(F.col("n") >= ESTABLISHED).join(bad, "word", "left_anti")
+    frequent = settled.orderBy(F.desc("n"), "word").limit(frequent_words).select("word").toPandas()["word"]
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast((_sample_model(texts, key, text, train_texts), frozenset(frequent)))
     key_type = texts.schema[key].dataType.simpleString()
@@ -367,6 +388,10 @@ def scan_findings(texts: DataFrame, key: str, text: str, train_texts: int = TRAI
     sure = raw.filter("kind in ('header', 'page', 'misread')").select(key, "line_no", "kind", F.col("a").alias("token"), F.col("b").alias("fix"))
     words = raw.filter("kind = 'word'").select(key, "line_no", F.col("a").alias("word"))
     misread = words.join(bad, "word").select(key, "line_no", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("meant").alias("fix"))
+    # A reading that its own text prefers counts for words that are not established in the corpus.
+    local = raw.filter("kind = 'local'").select(key, "line_no", F.col("a").alias("word"), F.col("b").alias("meant"))
+    local = local.join(counts.filter(F.col("n") >= ESTABLISHED).select("word"), "word", "left_anti")
+    misread = misread.unionByName(local.select(key, "line_no", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("meant").alias("fix")))
     halves = raw.filter("kind = 'half'").select(key, "line_no", "a", "b", "next_line")
     judged = halves.join(cut_words(halves, counts), ["a", "b"])
     cut = judged.filter("cut").select(key, "line_no", F.lit("cut").alias("kind"), F.col("a").alias("token"), F.col("joined").alias("fix"))
@@ -383,7 +408,11 @@ def scan_findings(texts: DataFrame, key: str, text: str, train_texts: int = TRAI
 
 
 def _text_findings(lines: list[str], path: np.ndarray, common: frozenset[str]) -> list[tuple[int, str, str | None, str | None, int | None]]:
-    """Findings of one text: (line, kind, a, b); kinds word and half are settled by the corpus."""
+    """Findings of one text: (line, kind, a, b); kinds word, local and half are settled by the corpus.
+
+    Words in ``common`` are established and have no better reading, so nothing
+    is said of them.
+    """
     out: list[tuple[int, str, str | None, str | None, int | None]] = []
     rare: list[tuple[int, str]] = []
     here: Counter = Counter()
@@ -395,23 +424,33 @@ def _text_findings(lines: list[str], path: np.ndarray, common: frozenset[str]) -
             continue
         if path[k] in (HEADER, PAGE):
             out.append((k, LABELS[path[k]], None, None, None))
-        elif (m := _CUT.search(line)) and k in follow and (b := _FIRST.match(lines[follow[k]])) and b.group(1)[:1].islower() | (b.group(1)[:1] in "!+@05"):
+        elif (m := _CUT.search(line)) and k in follow and (b := _FIRST.match(lines[follow[k]])) and b.group(1)[:1].islower() | (b.group(1)[:1] in "!|+@058"):
             first, second = m.group(1).lower(), b.group(1).lower()
             out.append((k, "half", first, second, follow[k]))
             halves |= {(k, first), (follow[k], second)}
-        low = line.lower()
-        for token in _TOKEN.findall(low):
+        tokens = _TOKEN.findall(line.lower())
+        here.update(tokens)
+        for token in tokens:
             if token in common:
                 continue
             word = clean_token(token)
             if len(word) >= 3 and word not in common and not word.isdigit():
                 parts = word.split("-") if "-" in word else [word]
-                for w in parts:
-                    here[w] += 1
-                    if len(w) >= 3 and w not in common:
-                        rare.append((k, w))
+                rare += [(k, w) for w in parts if len(w) >= 3 and w not in common]
                 if len(parts) > 1:
                     rare.append((k, word))
+    if not rare:
+        return out
+    # Occurrences in this text by clean word, parts of compounds included.
+    count: Counter = Counter()
+    for token, n in here.items():
+        for w in clean_token(token).split("-"):
+            count[w] += n
+    bones: dict[str, list[str]] = {}
+    for w in count:
+        if len(w) > LONG_WORD:
+            bones.setdefault(skeleton(w), []).append(w)
+    better: dict[str, str | None] = {}
     for k, w in rare:
         if (k, w) in halves:
             if _INSIDE.search(w):
@@ -419,11 +458,11 @@ def _text_findings(lines: list[str], path: np.ndarray, common: frozenset[str]) -
             continue
         out.append((k, "word", w, None, None))
         # A name that only this text has: misread if another reading is more frequent here.
-        if any(c.isalpha() for c in w):
-            for meant in undo(w, 1):
-                if here.get(meant, 0) > here[w]:
-                    out.append((k, "misread", w, meant, None))
-                    break
+        if w not in better:
+            read = sorted(bones.get(skeleton(w), ())) if len(w) > LONG_WORD else undo(w, 1) if any(c.isalpha() for c in w) else ()
+            better[w] = next((meant for meant in read if count.get(meant, 0) > count[w]), None)
+        if better[w] is not None:
+            out.append((k, "local", w, better[w], None))
     return out
 
 
@@ -467,7 +506,7 @@ def repair_text(text: str, notes: list) -> tuple[int, int, int, int, str]:
             continue
         for n in kinds:
             if n["kind"] == "misread" and n["token"] and n["fix"]:
-                line, hits = re.subn(rf"(?<![\w!+@]){re.escape(n['token'])}(?![\w+@])", lambda m, fix=n["fix"]: fix.capitalize() if m.group(0)[:1].isupper() else fix, line, flags=re.IGNORECASE)
+                line, hits = re.subn(rf"(?<![\w!+@|]){re.escape(n['token'])}(?![\w+@|])", lambda m, fix=n["fix"]: fix.capitalize() if m.group(0)[:1].isupper() else fix, line, flags=re.IGNORECASE)
                 corrected += hits
         line = line.strip()
         if broke and current and not glue and (current[-1] in ".!?:;\"”" or line[:1].isupper()):

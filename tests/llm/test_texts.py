@@ -185,6 +185,32 @@ def test_scan_findings_and_repair(spark):
     assert scanclean.scan_findings(df.limit(0), "id", "t").count() == 0
 
 
+def test_line_features_know_no_lengths():
+    """Running headers and page numbers are seen beside long lines and when long themselves."""
+    long = "word " * 60
+    head = "A running header of more than ninety characters that a wide page carries at its top, again and again"
+    f = scanclean.line_features([head, long, " " * 40 + "- 12 -" + " " * 40, head, long + "x"])
+    assert f[:, 1].tolist() == [1, 0, 0, 1, 0] and f[2, 0] == 1 and f[3, 2] == 1
+
+
+def test_frequent_list_changes_nothing(spark):
+    random.seed(8)
+    stems = ["lorn", "merge", "clause", "bond", "river", "modern", "tender", "figure", "quorum", "ledger"]
+    texts = [" ".join(random.choice(stems) + random.choice(["", "s", "ing", "1y", "rn"]) for _ in range(40)) for _ in range(60)]
+    texts.append("Zorrnak paid. Zormak paid. Zormak paid " + "fi1ing " * 3)
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    want = {tuple(r) for r in scanclean.scan_findings(df, "id", "t", frequent_words=0).collect()}
+    assert want and all({tuple(r) for r in scanclean.scan_findings(df, "id", "t", frequent_words=n).collect()} == want for n in (5, 10_000))
+
+
+def test_long_words_meet_by_skeleton(spark):
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    read = long.replace("m", "rn").replace("l", "1")
+    counts = spark.createDataFrame([(long, 9), (read, 1), ("x" * 300_000, 2), ("clear", 1), ("dear", 2), ("123", 9)], "word string, n bigint")
+    got = {r["word"]: r["meant"] for r in scanclean.misread_words(counts).collect()}
+    assert got == {read: long}
+
+
 def test_viterbi_equals_brute_force():
     from itertools import product
 
@@ -212,7 +238,7 @@ def abuse_model():
             t.insert(random.randint(0, 5), random.choice(BAD).format(n=n))
         texts.append(" ".join(t))
         labels.append(int(n % 4 == 0))
-    return abuse.AbuseModel(texts, labels)
+    return abuse.AbuseModel.fit(texts, labels)
 
 
 def test_abuse_finds_single_sentences_and_spellings():
@@ -225,6 +251,25 @@ def test_abuse_finds_single_sentences_and_spellings():
     assert np.allclose(model.score(good + bad)[4:], score[:2])
 
 
+def test_abuse_short_sentences_and_scripts():
+    random.seed(5)
+    texts = [" ".join([*(random.choice(CLEAN).format(n=random.randint(0, 999)) for _ in range(4)), *(["Moron."] if n % 3 == 0 else []), *(["Привет, это обычный отчёт."] if n % 2 else [])]) for n in range(240)]
+    model = abuse.AbuseModel.fit(texts, [int(n % 3 == 0) for n in range(240)])
+    assert (model.score(["Moron.", "A dull loan number 1 was priced at par today. Moron.", "MОRОN!", "m\u200boron."]) > 0).all()
+    assert (model.score(["Привет, это обычный отчёт.", "The board met on day 5 and voted.", "Ok.", "¿?"]) <= 0).all()
+    s, _, _ = abuse.symbols(["Привет мир"])
+    assert len(set(s.tolist())) > 6
+
+
+def test_abuse_overlong_sentences_are_cut_at_blanks():
+    model = abuse_model()
+    for shift in range(0, 60, 7):
+        text = "x " * 1000 + "y" * shift + " only a moron like you would file report nine " + "z " * 3000
+        s, starts, _ = abuse.symbols([text])
+        assert len(starts) > 1 and all(s[k] == 0 for k in starts[1:])
+    assert model.score(["q" * 10_000, "ab" * 10_000]).tolist()
+
+
 def test_abuse_rows(spark):
     docs = spark.createDataFrame([(n, (BAD if n % 4 == 0 else CLEAN)[n % 3].format(n=n) + " " + CLEAN[n % 2].format(n=n), "s", "u") for n in range(160)] + [(900, None, None, None), (901, "", "s", None), (901, "", "s", None)], "doc_id bigint, text string, source string, score string")
     labels = spark.createDataFrame([(n, int(n % 4 == 0)) for n in range(160)] + [(3, None), (None, 1), (5000, 1)], "doc_id bigint, abusive bigint")
@@ -253,7 +298,7 @@ def test_mixture_shares_and_caps(spark):
     assert mix.groupBy("doc_id").count().filter("count > 1").count() == 0
     capped = {r["source"]: r for r in mixing.mixture_report(mixing.mix_sources(docs, targets, total_tokens=10**7), targets).collect()}
     assert capped["small"]["most_copies"] == 3
-    assert sorted(map(tuple, mixing.mix_sources(docs, targets, buckets=1).collect())) == sorted(map(tuple, mix.collect()))
+    assert sorted(map(tuple, mixing.mix_sources(docs, targets, partition_rows=40).collect())) == sorted(map(tuple, mix.collect()))
     assert mixing.mix_sources(docs.limit(0), targets).count() == 0
     assert mixing.mix_sources(docs, targets.limit(0)).count() == 0
 
@@ -267,8 +312,31 @@ def test_weighted_keys_prefer_quality(spark):
     assert 0.72 < share < 0.88
 
 
-def test_hashed_sample(spark):
+def test_mixture_takes_quality_and_spreads_any_weights(spark):
+    """The fractional part of a source prefers records of weight; weights far below 1 or none still spread over partitions."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("plain words of one length here").alias("text"), F.lit("a").alias("source"), (F.col("id") % 3 * 1e-9).alias("w"))
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats bigint")
+    mix = mixing.mix_sources(docs, targets, total_tokens=6 * 1000, quality=F.col("w"), partition_rows=100)
+    by = {r["k"]: r["count"] for r in mix.groupBy((F.col("doc_id") % 3).alias("k")).count().collect()}
+    assert 990 <= sum(by.values()) <= 1000 and by.get(0, 0) == 0 and by[2] > 1.3 * by[1]
+    clean, table = "The buyer will keep the brand and its staff.", "1 2 3 | 4 5 6 | 1 2 3 | 4 5 6"
+    weights = spark.createDataFrame([(1, clean), (2, table), (3, ""), (4, None), (5, clean * 50)], "id int, t string")
+    w = {r["id"]: r["w"] for r in weights.withColumn("w", mixing.text_quality(F.col("t"))).collect()}
+    assert w[1] > w[2] > w[5] and w[3] == 0 and w[4] == 0
+
+
+def test_tokens_of_endless_words_are_exact():
+    path = mixing.default_tokenizer()
+    text = "Some words before. " + "xy" * 5000 + " and some after, with 12 numbers."
+    assert mixing.count_tokens(text, path) == len(mixing._encoder(path).encode_ordinary(text))
+
+
+def test_hashed_sample_and_task_fit(spark):
     df = spark.range(500).withColumnRenamed("id", "k")
-    rows = samples.hashed_sample(df, ["k"], ["k"], 40)
-    assert len(rows) == 40 and samples.hashed_sample(df.limit(0), ["k"], ["k"], 40) == []
-    assert {r["k"] for r in samples.hashed_sample(df.repartition(7), ["k"], ["k"], 40)} == {r["k"] for r in rows}
+    rows = samples.hashed_sample(df, ["k"], 40).collect()
+    assert len(rows) == 40 and samples.hashed_sample(df.limit(0), ["k"], 40).count() == 0
+    assert {r["k"] for r in samples.hashed_sample(df.repartition(7), ["k"], 40).collect()} == {r["k"] for r in rows}
+    total = lambda pdf: (len(pdf), pdf["k"].sum())
+    assert samples.fit_in_task(df, total) == (500, 499 * 250) and samples.fit_in_task(df.limit(0), total) == (0, 0)
