@@ -53,7 +53,8 @@ _PAGE = re.compile(
     r"^\s*(?:[\[(]\s*\d{1,4}\s*[\])]|[-–—]\s*\d{1,4}\s*[-–—]|\d{1,4}|[A-Z]-\d{1,4}|[ivxlc!1]{1,7}|p[a@][g9][ec]\s+\d{1,4}(?:\s*(?:[o0]f|/)\s*\d{1,4})?)\s*$",
     re.IGNORECASE,
 )
-_MARKER = re.compile(r"\(continu|execution copy|^\s*confidential\b|^\s*(?:exhibit|annex|schedule|appendix)\s+[\w.-]+\s*$", re.IGNORECASE)
+_MARKER = re.compile(r"\s*(?:confidential\b|(?:exhibit|annex|schedule|appendix)\s+[\w.-]+\s*$)")
+_MARKED = ("(continu", "execution copy")
 #: Letters, then a symbol that stands for a letter, inside or at an edge of a word.
 _INSIDE = re.compile(r"[^\W\d_][!+0@1589|][^\W\d_]|^[!+@|][^\W\d_]{2}|[^\W\d_]{2}[+@]$")
 
@@ -96,7 +97,7 @@ def skeleton(line: str) -> str:
     s = line.strip().lower().translate(_SYMBOL_MAP)
     for seen, meant in (("\ufb01", "fi"), ("\ufb02", "fl"), ("li", "h"), ("ii", "u"), ("cl", "d"), ("rn", "m"), ("vv", "w")):
         s = s.replace(seen, meant)
-    return re.sub(r"\s+", " ", s.replace("c", "e"))
+    return " ".join(s.replace("c", "e").split())
 
 
 # ---------------------------------------------------------------- line model
@@ -133,7 +134,8 @@ def line_features(lines: list[str]) -> np.ndarray:
         x = lines[k]
         if seen[bones[k]] > 1:
             out[k, 1] = 1
-        if _MARKER.search(x):
+        low = x.lower()
+        if _MARKED[0] in low or _MARKED[1] in low or _MARKER.match(low):
             out[k, 3] = 1
         elif x.isupper() and lengths[k] > 8:
             out[k, 3] = 2
@@ -296,7 +298,7 @@ def misread_words(counts: DataFrame) -> DataFrame:
     known = counts.select(F.col("word").alias("meant"), F.col("n").alias("m"))
     shape = r"[^\W\d_][!+0@1589|][^\W\d_]|^[!+@|][^\W\d_]{2}|[^\W\d_]{2}[+@]$"
     odd = F.col("word").rlike("(?U)" + shape)
-    judged = pairs.join(known, "meant", "left").withColumn("odd", odd)
+    judged = pairs.join(known.hint("merge"), "meant", "left").withColumn("odd", odd)
     good = (F.col("m") >= 2) & (F.col("m") >= 3 * F.col("n"))
     edge = F.col("word").rlike(r"^[058][a-z]{3}|[a-z]{3}[01589]$") & (F.col("m") >= 3)
     plain = F.translate("word", _SYMBOLS, _LETTERS)
@@ -326,13 +328,13 @@ def cut_words(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     readings of the whole word are compared, and ``misread`` tells so.
     """
     base = pairs.select("a", "b").distinct()
-    read = base.mapInPandas(_readings, "a string, b string, own boolean, undone boolean, word string").join(counts, "word")
+    read = base.mapInPandas(_readings, "a string, b string, own boolean, undone boolean, word string").join(counts.hint("merge"), "word")
     # The word as read counts before any other reading unless that is three times as frequent.
     weight = F.when(F.col("undone"), F.when(F.col("n") >= 3, F.col("n"))).otherwise(3 * F.col("n"))
     best = read.withColumn("w", weight).groupBy("a", "b").agg(F.max_by(F.struct("own", "undone", "word"), F.struct("w", "word")).alias("best"))
-    out = base.join(best, ["a", "b"], "left")
+    out = base.join(best.hint("merge"), ["a", "b"], "left")
     for side in ("a", "b"):
-        out = out.join(counts.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}")), side, "left").fillna(0, [f"n_{side}"])
+        out = out.join(counts.select(F.col("word").alias(side), F.col("n").alias(f"n_{side}")).hint("merge"), side, "left").fillna(0, [f"n_{side}"])
     words = (F.col("n_a") >= 20) & (F.col("n_b") >= 20)
     return out.select(
         "a",
@@ -366,7 +368,7 @@ def scan_findings(texts: DataFrame, key: str, text: str, train_texts: int = TRAI
     """
     counts = cut_lineage(word_counts(texts, text))
     bad = cut_lineage(misread_words(counts))
-    settled = counts.filter(F.col("n") >= ESTABLISHED).join(bad, "word", "left_anti")
+    settled = counts.filter(F.col("n") >= ESTABLISHED).join(bad.hint("merge"), "word", "left_anti")
     frequent = settled.orderBy(F.desc("n"), "word").limit(frequent_words).select("word").toPandas()["word"]
     sc = texts.sparkSession.sparkContext
     shared = sc.broadcast((_sample_model(texts, key, text, train_texts), frozenset(frequent)))
@@ -387,13 +389,13 @@ def scan_findings(texts: DataFrame, key: str, text: str, train_texts: int = TRAI
     raw = cut_lineage(texts.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_text is not null").mapInPandas(run, schema))
     sure = raw.filter("kind in ('header', 'page', 'misread')").select(key, "line_no", "kind", F.col("a").alias("token"), F.col("b").alias("fix"))
     words = raw.filter("kind = 'word'").select(key, "line_no", F.col("a").alias("word"))
-    misread = words.join(bad, "word").select(key, "line_no", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("meant").alias("fix"))
+    misread = words.join(bad.hint("merge"), "word").select(key, "line_no", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("meant").alias("fix"))
     # A reading that its own text prefers counts for words that are not established in the corpus.
     local = raw.filter("kind = 'local'").select(key, "line_no", F.col("a").alias("word"), F.col("b").alias("meant"))
-    local = local.join(counts.filter(F.col("n") >= ESTABLISHED).select("word"), "word", "left_anti")
+    local = local.join(counts.filter(F.col("n") >= ESTABLISHED).select("word").hint("merge"), "word", "left_anti")
     misread = misread.unionByName(local.select(key, "line_no", F.lit("misread").alias("kind"), F.col("word").alias("token"), F.col("meant").alias("fix")))
     halves = raw.filter("kind = 'half'").select(key, "line_no", "a", "b", "next_line")
-    judged = halves.join(cut_words(halves, counts), ["a", "b"])
+    judged = halves.join(cut_words(halves, counts).hint("merge"), ["a", "b"])
     cut = judged.filter("cut").select(key, "line_no", F.lit("cut").alias("kind"), F.col("a").alias("token"), F.col("joined").alias("fix"))
     # A misread half: the second if the word meant begins with the first as read.
     second = F.startswith(F.regexp_replace("joined", "-", ""), F.col("a"))
@@ -424,7 +426,7 @@ def _text_findings(lines: list[str], path: np.ndarray, common: frozenset[str]) -
             continue
         if path[k] in (HEADER, PAGE):
             out.append((k, LABELS[path[k]], None, None, None))
-        elif (m := _CUT.search(line)) and k in follow and (b := _FIRST.match(lines[follow[k]])) and b.group(1)[:1].islower() | (b.group(1)[:1] in "!|+@058"):
+        elif line.rstrip(" \t").endswith("-") and (m := _CUT.search(line)) and k in follow and (b := _FIRST.match(lines[follow[k]])) and b.group(1)[:1].islower() | (b.group(1)[:1] in "!|+@058"):
             first, second = m.group(1).lower(), b.group(1).lower()
             out.append((k, "half", first, second, follow[k]))
             halves |= {(k, first), (follow[k], second)}
@@ -442,8 +444,9 @@ def _text_findings(lines: list[str], path: np.ndarray, common: frozenset[str]) -
     if not rare:
         return out
     # Occurrences in this text by clean word, parts of compounds included.
-    count: Counter = Counter()
-    for token, n in here.items():
+    count = here
+    for token in [t for t in here if not t.isalnum()]:
+        n = count.pop(token)
         for w in clean_token(token).split("-"):
             count[w] += n
     bones: dict[str, list[str]] = {}
