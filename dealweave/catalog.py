@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dealweave.plans import api, graph_queries, ingest_queries, integrity, text_queries
+from dealweave.plans import api, composed, graph_queries, ingest_queries, integrity, text_queries
 
-_MODULES = (integrity, text_queries, graph_queries, api, ingest_queries)
+_MODULES = (integrity, text_queries, graph_queries, api, ingest_queries, composed)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 # Patterns. (?i) ignores case, (?s) lets . cross lines, (?md) ends $ at \n only.
 PARTY_LIST = r"(?is)(?md)\bby\s+and\s+(?:among|between)\b\s+(.+)\.\s*$"
-PARTY_LIST_LAZY = r"(?is)\bby\s+and\s+(?:among|between)\b\s+(.+?[\"')]\s*)\."
 PARTY_LIST_ALT = r"(?is)(?md)(?:entered\s+into|made)\s+(?:by\s+and\s+)?(?:among|between)\s+(.+)\.\s*$"
 MERGER_HEADER = r"(?i)(?:AGREEMENT\s+AND\s+PLAN\s+OF\s+MERGER|PLAN\s+OF\s+MERGER|MERGER\s+AGREEMENT)"
 DEFINED_TERM = (
@@ -93,9 +92,15 @@ INSTRUMENT_TYPES = (
     ("revolving credit facility", "rcf"), ("revolving facility", "rcf"), ("credit facility", "credit_facility"), ("revolver", "rcf"), ("rcf", "rcf"),
 )
 
-# Typographic characters and their plain form; the last two vanish.
-TYPOGRAPHIC = "“”„‟‘’‚‛–—―‒     ​﻿"
-PLAIN = "\"\"\"\"" + "'" * 4 + "-" * 4 + " " * 5
+# Typographic characters and their plain form; the empty ones vanish.
+PLAIN_FORM = {
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"',
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'",
+    "\u2013": "-", "\u2014": "-", "\u2015": "-", "\u2012": "-",
+    "\u00a0": " ", "\u2002": " ", "\u2003": " ", "\u2009": " ", "\u200a": " ",
+    "\u200b": "", "\ufeff": "",
+}
+TYPOGRAPHIC, PLAIN = "".join(PLAIN_FORM), "".join(PLAIN_FORM.values())
 
 # Endings cut from bank names, each tried once, in this order.
 BANK_ENDINGS = (
@@ -112,10 +117,11 @@ TABLE_ROLES = (
     "administrative agent", "admin agent", "syndication agent", "documentation agent", "collateral agent", "paying agent",
     "financial advisor", "financial adviser", "advisor", "adviser", "fairness opinion",
 )
-TABLE_BANKS = (
-    r"(?i)\b(?:J\.?P\.?\s*Morgan|JPMorgan|Goldman\s*Sachs|GS|Morgan\s*Stanley|Bank\s*of\s*America|BofA|BAML|Citi(?:group|bank)?|Wells\s*Fargo|"
-    r"Barclays|Deutsche\s*Bank|Credit\s*Suisse|UBS|HSBC|BNP\s*Paribas|Societe\s*Generale|RBC|Royal\s*Bank\s*of\s*Canada|TD\s*Securities|"
-    r"Mizuho|MUFG|Mitsubishi\s*UFJ|SMBC|Sumitomo\s*Mitsui)\b"
-)
+BANK_PATTERNS = (
+    r"J\.?P\.?\s*Morgan", r"JPMorgan", r"Goldman\s*Sachs", r"GS", r"Morgan\s*Stanley", r"Bank\s*of\s*America", r"BofA", r"BAML", r"Citi(?:group|bank)?",
+    r"Wells\s*Fargo", r"Barclays", r"Deutsche\s*Bank", r"Credit\s*Suisse", r"UBS", r"HSBC", r"BNP\s*Paribas", r"Societe\s*Generale", r"RBC",
+    r"Royal\s*Bank\s*of\s*Canada", r"TD\s*Securities", r"Mizuho", r"MUFG", r"Mitsubishi\s*UFJ", r"SMBC", r"Sumitomo\s*Mitsui",
+)
+TABLE_BANKS = rf"(?i)\b(?:{'|'.join(BANK_PATTERNS)})\b"
 TABLE_BANK_SUFFIX = r"(?i)(?:LLC|Inc\.?|N\.?A\.?|Bank|Securities|Capital)$"
 TABLE_HEADER_WORDS = ("name", "lender", "underwriter", "role", "institution", "amount", "commitment")

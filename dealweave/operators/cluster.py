@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealweave.functions import patterns as P
-from dealweave.functions.fuzzy import ratio
+from dealweave.functions.fuzzy import similar_pairs
 
 
 def scope_of(exhibit: Column, filing: Column) -> Column:
@@ -90,48 +89,68 @@ def fold_dates(facts: DataFrame) -> DataFrame:
     return d.filter("d is not null and date_type is not null").groupBy("deal_id", "date_type").agg(F.min_by("d", "id").alias("date_value"))
 
 
-def merge_deals(facts: DataFrame, deals: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Facts moved from ``source_id`` to ``target_id`` and deals without the sources.
+def assign_deals(facts: DataFrame, deals: DataFrame) -> DataFrame:
+    """(fact_id, side, deal_key, deal_id, action) of party facts without a deal.
 
-    Each source may be listed once; a target that is itself a source is not followed.
+    A target whose key no deal has creates one, else it is attached to it, or
+    held back (``locked``) if that deal is LOCKED.  An acquirer goes where the
+    target of its key goes, or to an existing deal that is not LOCKED; it never
+    creates one (``waiting``).  Of several deals with one key the smallest id
+    counts.  ``deal_id`` is null for deals still to be created.
     """
-    m = merges.select(F.col("source_id").alias("deal_id"), "target_id").dropDuplicates(["deal_id"])
-    moved = facts.join(m, "deal_id", "left").withColumn("deal_id", F.coalesce("target_id", "deal_id")).drop("target_id").select(facts.columns)
-    return moved, deals.join(m.select(F.col("deal_id").alias("id")), "id", "left_anti").select(deals.columns)
+    loose = facts.filter("deal_id is null")
+    keyed = cluster_parties(loose).join(party_roles(loose).select(F.col("id").alias("fact_id"), "side"), "fact_id")
+    held = deals.filter("deal_key is not null").groupBy("deal_key").agg(F.min("id").alias("deal_id"), F.min_by("state", "id").alias("state"))
+    created = keyed.filter("side = 'target'").select("deal_key").distinct().join(held.select("deal_key"), "deal_key", "left_anti").withColumn("fresh", F.lit(True))
+    x = keyed.join(held, "deal_key", "left").join(created, "deal_key", "left")
+    action = (
+        F.when(F.col("state") == "LOCKED", "locked").when(F.col("deal_id").isNotNull(), "attached")
+        .when(F.col("side") == "target", "created").when(F.col("fresh"), "attached").otherwise("waiting")
+    )
+    return x.select("fact_id", "side", "deal_key", F.when(action != "locked", F.col("deal_id")).alias("deal_id"), action.alias("action"))
 
 
-#: Names of one length that are compared as a block, and places that their bigrams are counted in.
-BLOCK_NAMES, BIGRAM_PLACES = 1_000, 256
+def created_deals(assigned: DataFrame, facts: DataFrame) -> DataFrame:
+    """(deal_key, target_name_raw, target_cik, first_fact_id) of deals to create, from the first target fact of each key."""
+    first = assigned.filter("action = 'created'").groupBy("deal_key").agg(F.min("fact_id").alias("first_fact_id"))
+    party = facts.select(F.col("id").alias("first_fact_id"), F.col("party.party_name_raw").alias("target_name_raw"), F.col("party.cik").alias("target_cik"))
+    return first.join(party, "first_fact_id").select("deal_key", "target_name_raw", "target_cik", "first_fact_id")
 
 
-def _bigram_counts(names: list[str]) -> np.ndarray:
-    """Counts of bigrams, each occurrence on its own, folded into fixed places."""
-    out = np.zeros((len(names), BIGRAM_PLACES), dtype=np.float32)
-    for i, name in enumerate(names):
-        seen: dict[str, int] = {}
-        for j in range(len(name) - 1):
-            two = name[j : j + 2]
-            n = seen[two] = seen.get(two, 0) + 1
-            out[i, (ord(two[0]) * 961 + ord(two[1]) * 31 + n) % BIGRAM_PLACES] += 1
-    return out
+def assignment_counts(assigned: DataFrame) -> DataFrame:
+    """(action, facts, deals): how many facts each action took and how many keys they are of."""
+    return assigned.groupBy("action").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("deal_key").alias("deals"))
 
 
-def near_in_blocks(one: list[str], two: list[str], least: float) -> Iterator[tuple[str, str, float]]:
-    """Pairs (smaller, larger, ratio) of different names of two blocks with a ratio above ``least``.
+def merge_deals(facts: DataFrame, events: DataFrame, deals: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Facts and events moved from ``source_id`` to ``target_id``, deals without the sources, and one resolved alert per merge.
 
-    With a common subsequence of L characters, names of a and b characters share
-    at least 3 L - 1 - a - b bigrams: its L - 1 steps, less those that skip a
-    character of either. The product of folded counts is never below the shared
-    number, so no pair above ``least`` is passed over.
+    Each source may be listed once; a target that is itself a source is not
+    followed.  ``merges`` may hold a ``reason`` for the alert.
     """
-    a, b = np.array([len(x) for x in one], dtype=np.float64), np.array([len(x) for x in two], dtype=np.float64)
-    total = a[:, None] + b[None, :]
-    need = 3 * least / 200 * total - 1 - total
-    possible = (200 * np.minimum(a[:, None], b[None, :]) > least * total) & (_bigram_counts(one) @ _bigram_counts(two).T >= need - 1e-6)
-    for i, j in zip(*np.nonzero(possible)):
-        x, y = one[i], two[j]
-        if x != y and (r := ratio(x, y)) > least:
-            yield min(x, y), max(x, y), r
+    why = F.col("reason") if "reason" in merges.columns else F.lit(None).cast("string")
+    m = merges.select(F.col("source_id").alias("deal_id"), "target_id", why.alias("reason")).dropDuplicates(["deal_id"])
+
+    def moved(rows: DataFrame) -> DataFrame:
+        to = m.select("deal_id", F.col("target_id").alias("_moved_to"))
+        return rows.join(to, "deal_id", "left").withColumn("deal_id", F.coalesce("_moved_to", "deal_id")).select(rows.columns)
+
+    kept = deals.join(m.select(F.col("deal_id").alias("id")), "id", "left_anti").select(deals.columns)
+    alerts = m.select(
+        F.lit("DEAL_MERGE_CANDIDATE").alias("alert_type"), F.col("target_id").alias("deal_id"), F.col("deal_id").alias("merged_deal_id"), F.col("reason").alias("description"), F.lit(True).alias("is_resolved")
+    )
+    return moved(facts), moved(events), kept, alerts
+
+
+#: Names of one length that are compared as a block.
+BLOCK_NAMES = 1_000
+
+
+def near_in_blocks(one: list[str], two: list[str], least: float) -> Iterator[tuple[str, str, float]]:
+    """Pairs (smaller, larger, ratio) of different names of two blocks with a ratio above ``least``."""
+    for i, j, r in similar_pairs(one, two, least):
+        if one[i] != two[j] and r > least:
+            yield min(one[i], two[j]), max(one[i], two[j]), r
 
 
 def near_names(names: DataFrame, least: float) -> DataFrame:

@@ -78,6 +78,41 @@ def party_mentions(docs: DataFrame, key: str, text: str) -> DataFrame:
     return parties.select(key, F.explode("parties").alias("party_name_raw"), F.lit("Unknown").alias("role_label"), "evidence_snippet", F.lit(0.7).alias("confidence"))
 
 
+def labelled_parties(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, start, party, label, role): each known defined term and the last segment between commas or semicolons before it."""
+    c = F.col(text)
+    x = docs.filter(c.rlike(P.DEFINED_TERM)).select(key, c.alias("_t"), F.explode(X.spans(c, P.DEFINED_TERM)).alias("m"))
+    label = F.regexp_extract("m.text", P.DEFINED_TERM, 1)
+    before = F.regexp_extract(F.trim(F.expr("substring(_t, 1, m.start)")), r"(?s)([^,;]*)$", 1)
+    out = x.select(key, F.col("m.start").alias("start"), F.trim(before).alias("party"), label.alias("label"), X.role_of_label(label).alias("role"))
+    return out.filter("party <> '' and role is not null")
+
+
+def item_section(text: Column, item: str = P.ITEM_101) -> Column:
+    """The section of an item up to the next numbered item or the end; null without it."""
+    section = F.regexp_extract(text, rf"(?s)({item}.*?)(?=(?-i:Item)\s+\d+\.\d+|\z)", 1)
+    return F.nullif(section, F.lit(""))
+
+
+def pdf_outcomes(exhibits: DataFrame) -> DataFrame:
+    """(id, quality, outcome) of PDF exhibits: good text is ``processed``; of the rest material ones are an ``alert``, others ``skipped``."""
+    pdf = exhibits.filter("is_pdf").select("id", "is_material", X.quality(F.col("visual_text")).alias("quality"))
+    outcome = F.when(F.col("quality") == "good", "processed").when(F.col("is_material"), "alert").otherwise("skipped")
+    return pdf.select("id", "quality", outcome.alias("outcome"))
+
+
+def pdf_financing(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, facility_type, amounts, amount_usd): kind of the first wording that occurs, number and largest of the amounts."""
+    low = F.lower(text)
+    has = low.contains
+    kind = (
+        F.when(has("term loan"), "term_loan").when(has("revolving"), "rcf").when(has("bridge"), "bridge")
+        .when(has("bond") | has("note"), "bond").when(has("credit"), "loan")
+    )
+    found = X.currency_amounts(F.col(text))
+    return docs.filter(F.col(text) != "").select(key, kind.alias("facility_type"), F.size(found).alias("amounts"), F.array_max(F.transform(found, lambda a: a["value_usd"])).alias("amount_usd"))
+
+
 def missing_party_alerts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, preamble_hash, preamble_preview) of merger agreements whose parties were not found."""
     head = X.preamble(F.col(text))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.functions import text as X
-from dealweave.functions.fuzzy import ratio
+from dealweave.functions.fuzzy import similar_pairs
 
 #: Most reference spellings compared at once.
 BLOCK = 5_000
@@ -36,6 +36,7 @@ def resolve_exact(names: DataFrame, column: str, banks: DataFrame, aliases: Data
 def resolve_banks(names: DataFrame, column: str, banks: DataFrame, aliases: DataFrame, least: float = 92.0, block: int = BLOCK) -> DataFrame:
     """As ``resolve_exact``, with similar spellings for the rest (confidence similarity / 100).
 
+    Shared bigrams rule out most pairs before they are compared, without loss.
     The reference spellings are streamed in blocks of ``block``; each block is
     broadcast to the distinct unresolved names.
     """
@@ -50,12 +51,12 @@ def resolve_banks(names: DataFrame, column: str, banks: DataFrame, aliases: Data
         shared = sc.broadcast(spelled)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            spellings, owner = [x for x, _ in shared.value], [x for _, x in shared.value]
             for pdf in batches:
-                out = []
-                for raw, k in zip(pdf["raw"], pdf["k"]):
-                    best = max(((ratio(k, s), -b) for s, b in shared.value if min(len(k), len(s)) >= least / (200 - least) * max(len(k), len(s))), default=(0.0, 0))
-                    if best[0] >= least:
-                        out.append((raw, -best[1], best[0]))
+                best: dict[int, tuple[float, int]] = {}
+                for i, j, r in similar_pairs(pdf["k"].tolist(), spellings, least):
+                    best[i] = max(best.get(i, (0.0, 0)), (r, -owner[j]))
+                out = [(pdf["raw"].iloc[i], -b, r) for i, (r, b) in best.items()]
                 yield pd.DataFrame(out, columns=["raw", "bank_id", "score"])
 
         part = rest.mapInPandas(run, "raw string, bank_id bigint, score double")
@@ -76,3 +77,21 @@ def unlisted_banks(resolved: DataFrame) -> DataFrame:
     """New bank rows (name, name_normalized) for names that resolved to nothing, one per normalised name."""
     x = resolved.filter("bank_id is null").select("raw", X.cut_bank_endings(F.col("raw")).alias("name_normalized")).filter("name_normalized <> ''")
     return x.groupBy("name_normalized").agg(F.min("raw").alias("name")).select("name", "name_normalized")
+
+
+def link_banks(resolved: DataFrame) -> DataFrame:
+    """(raw, bank_key): every name with its bank, listed ones by id, the others by a key that their normalised name makes.
+
+    The key of a new bank does not depend on what else arrives, so linking again
+    gives the same keys.
+    """
+    made = F.nullif(X.cut_bank_endings(F.col("raw")), F.lit(""))
+    return resolved.select("raw", F.coalesce(F.col("bank_id").cast("string"), F.concat(F.lit("new:"), made)).alias("bank_key"))
+
+
+def seed_banks(banks: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seeds (name, short_name) not listed yet, one per normalised name; seeding twice adds nothing."""
+    plain = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[,.]", ""), r"(?U)^\s+|\s+$", "")
+    once = seeds.filter("name is not null").groupBy(plain("name").alias("name_normalized")).agg(F.min_by(F.struct("name", "short_name"), "name").alias("s"))
+    known = banks.select(plain("name").alias("name_normalized")).filter("name_normalized is not null").distinct()
+    return once.join(known, "name_normalized", "left_anti").select("s.name", "s.short_name", "name_normalized")

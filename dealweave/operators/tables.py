@@ -65,3 +65,17 @@ def bank_roles(cells: DataFrame) -> DataFrame:
     )
     out = roles.join(head_text, _TABLE, "left").select(*row, F.col("b.col_no").alias("col_no"), F.col("b.text").alias("bank"), F.coalesce("by_col", "by_word", head_role).alias("role"))
     return out.filter("role is not null")
+
+
+def plain_bank_rows(cells: DataFrame) -> DataFrame:
+    """(key, table_no, row_no, bank, role) of every row with a bank, as in tables without a header.
+
+    The last cell with a bank's name or suffix and the last with a role word
+    count; a row without a role word is of role ``unknown``.
+    """
+    c = F.col("text")
+    filled = cells.filter("text <> ''")
+    rows = filled.groupBy(*_TABLE, "row_no").agg(
+        F.max_by("text", F.when(_is_bank(c), F.col("col_no"))).alias("bank"), F.max_by("text", F.when(_has_role(c), F.col("col_no"))).alias("role")
+    )
+    return rows.filter("bank is not null").withColumn("role", F.coalesce("role", F.lit("unknown")))

@@ -10,15 +10,19 @@ from dealweave.session import read_table
 # States, alert kinds and forms that statistics list.
 DEAL_STATES = ("CANDIDATE", "OPEN", "CLOSED", "LOCKED", "NEEDS_REVIEW")
 COUNTED_FORMS = ("8-K", "8-K/A", "S-4", "DEFM14A")
-SEARCHED = ("acquirer_name_raw", "acquirer_name_normalized", "target_name_raw", "target_name_normalized")
+SEARCHED = ("target_name_normalized", "acquirer_name_normalized", "target_name_display", "acquirer_name_display")
 LARGEST_PAGE = 200
 
 
-def _like(columns: tuple[str, ...], text: str) -> Column:
-    """Whether any column contains the text in any letter case; %, _ and \\ stand for themselves."""
+def _like(df: DataFrame, columns: tuple[str, ...], text: str) -> Column:
+    """Whether any column matches the text anywhere in any letter case; % and _ in it are wildcards.
+
+    A display name that the table does not have is the name as typed.
+    """
     out = F.lit(False)
     for c in columns:
-        out = out | F.coalesce(F.contains(F.lower(c), F.lower(F.lit(text))), F.lit(False))
+        c = c if c in df.columns else c.replace("_display", "_raw")
+        out = out | F.coalesce(F.col(c).ilike(f"%{text}%"), F.lit(False))
     return out
 
 
@@ -48,7 +52,7 @@ def list_deals(
     """A page of deals, latest announcement first, without announcement last; ties by id."""
     _check_page(skip, limit)
     if text:
-        deals = deals.filter(_like(SEARCHED, text))
+        deals = deals.filter(_like(deals, SEARCHED, text))
     for column, value in (("is_sponsor_backed", sponsor_backed), ("market_tag", market_tag), ("state", state)):
         if value is not None:
             deals = deals.filter(F.col(column) == value)
@@ -161,9 +165,18 @@ def resolve_alerts(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def manual_inputs(alerts: DataFrame, inputs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Inputs (alert_id, field_name, value, entered_by, entered_at) that belong to an alert, and the alerts with those resolved."""
+    kept = inputs.join(alerts.select(F.col("id").alias("alert_id")), "alert_id", "left_semi").select(inputs.columns)
+    decisions = kept.groupBy("alert_id").agg(
+        F.max_by("entered_by", "entered_at").alias("resolved_by"), F.max("entered_at").alias("resolved_at"), F.concat(F.lit("manual input: "), F.count(F.lit(1)).cast("string")).alias("resolution_notes")
+    )
+    return kept, resolve_alerts(alerts, decisions)
+
+
 def search(deals: DataFrame, text: str, limit: int = 20) -> DataFrame:
-    """Deals whose acquirer, target or sponsor holds the text; smallest ids first."""
-    hit = deals.filter(_like(("acquirer_name_raw", "target_name_raw", "sponsor_name_raw"), text))
+    """Deals whose acquirer, target (as shown) or sponsor matches the text; smallest ids first."""
+    hit = deals.filter(_like(deals, ("target_name_display", "acquirer_name_display", "sponsor_name_raw"), text))
     return hit.select("id", display_name().alias("title"), "state").orderBy("id").limit(limit)
 
 
@@ -187,13 +200,33 @@ def _t(name: str):  # noqa: ANN202
 
 _EVENTS, _PARTS, _FACTS, _FILINGS, _EXHIBITS, _ALERTS = map(_t, ("financing_events", "financing_participants", "atomic_facts", "filings", "exhibits", "processing_alerts"))
 
+def nested_financing(events: DataFrame, participants: DataFrame) -> DataFrame:
+    """Every event with its participants nested, shown in one line."""
+    one = F.struct("id", F.concat(F.coalesce("bank_name_raw", F.lit("?")), F.lit(" ("), F.coalesce("role", F.lit("?")), F.lit(")")).alias("shown"))
+    nested = participants.groupBy("financing_event_id").agg(F.array_sort(F.collect_list(one)).alias("p"))
+    lines = nested.select(F.col("financing_event_id").alias("id"), F.array_join(F.transform("p", lambda x: x["shown"]), "; ").alias("participants"))
+    return events.select("id", "deal_id", "instrument_type", "amount_usd").join(lines, "id", "left")
+
+
+def q14_manual_inputs(spark: SparkSession, root: str) -> DataFrame:
+    """Alerts resolved by an input for each field they need."""
+    alerts = _ALERTS(spark, root)
+    wanted = alerts.filter("not is_resolved").select(F.col("id").alias("alert_id"), F.explode("fields_needed").alias("field_name"), F.coalesce("updated_at", "created_at").alias("entered_at"))
+    inputs = wanted.select("alert_id", "field_name", F.lit("entered").alias("value"), F.lit("reviewer").alias("entered_by"), "entered_at")
+    resolved = manual_inputs(alerts, inputs)[1].filter("resolved_by is not null")
+    return resolved.select("id", "alert_type", "is_resolved", "resolved_at", "resolved_by", "resolution_notes")
+
+
 QUERIES = {
-    "q1_list_deals": lambda s, r: list_deals(_deals(s, r), text="holdings", skip=5, limit=50),
+    "q1_list_deals": lambda s, r: list_deals(_deals(s, r), text="hold_ngs", skip=5, limit=50),
     "q1_sponsor_deals": lambda s, r: list_deals(_deals(s, r), sponsor_backed=True, limit=100),
     "q2_deal": lambda s, r: deal_by_id(_deals(s, r), 4).select("id", "state", "display_name", "deal_key"),
     "q3_deal_financing": lambda s, r: deals_with_financing(_deals(s, r), _EVENTS(s, r), _PARTS(s, r)),
     "q4_advisors": lambda s, r: advisors_of(_FACTS(s, r)),
     "q5_facts_per_deal": lambda s, r: _FACTS(s, r).filter("deal_id is not null").groupBy("deal_id", "fact_type").agg(F.count(F.lit(1)).alias("facts"), F.max("confidence").alias("max_confidence")),
+    "q5_deal_facts": lambda s, r: _FACTS(s, r).filter("deal_id is not null").select("id", "deal_id", "fact_type", "filing_id", "exhibit_id", "evidence_snippet", "source_section", "extraction_method", "confidence"),
+    "q3_nested_financing": lambda s, r: nested_financing(_EVENTS(s, r), _PARTS(s, r)),
+    "q14_manual_inputs": q14_manual_inputs,
     "q6_deal_stats": lambda s, r: deal_stats(_deals(s, r), _EVENTS(s, r)),
     "q7_list_filings": lambda s, r: list_filings(_FILINGS(s, r), form="8-K", limit=200),
     "q8_filing_exhibits": lambda s, r: _FILINGS(s, r).select(F.col("id").alias("filing_id"), "accession_number").join(
@@ -209,7 +242,7 @@ QUERIES = {
 }
 _LIST = "select id, state, acquirer_name_raw, target_name_raw, deal_key, announcement_date, deal_value_usd, is_sponsor_backed, market_tag from deals"
 _LAST = " order by announcement_date desc nulls last, id"
-_HIT = " or ".join(f"coalesce(contains(lower({c}), 'holdings'), false)" for c in SEARCHED)
+_HIT = " or ".join(f"coalesce({c} ilike '%hold_ngs%', false)" for c in ("target_name_normalized", "acquirer_name_normalized", "target_name_display", "acquirer_name_raw"))
 _NAME = "coalesce(acquirer_name_raw, 'Unknown') || ' / ' || coalesce(target_name_display, target_name_raw, 'Unknown')"
 SQL = {
     "q1_list_deals": f"{_LIST} where {_HIT}{_LAST} limit 50 offset 5",
@@ -221,6 +254,12 @@ SQL = {
     "q4_advisors": """select id, deal_id, coalesce(advisor.bank_name_raw, 'unknown') as bank_name_raw, coalesce(advisor.role, 'unknown') as role,
         coalesce(advisor.client_side, 'unknown') as client_side from atomic_facts where advisor is not null and deal_id is not null""",
     "q5_facts_per_deal": "select deal_id, fact_type, count(*) as facts, max(confidence) as max_confidence from atomic_facts where deal_id is not null group by 1, 2",
+    "q5_deal_facts": "select id, deal_id, fact_type, filing_id, exhibit_id, evidence_snippet, source_section, extraction_method, confidence from atomic_facts where deal_id is not null",
+    "q3_nested_financing": """select e.id, e.deal_id, e.instrument_type, e.amount_usd, p.participants from financing_events e left join (
+        select financing_event_id, string_agg(coalesce(bank_name_raw, '?') || ' (' || coalesce(role, '?') || ')', '; ' order by id) as participants
+        from financing_participants group by 1) p on p.financing_event_id = e.id""",
+    "q14_manual_inputs": """select id, alert_type, true as is_resolved, coalesce(updated_at, created_at) as resolved_at, 'reviewer' as resolved_by,
+        'manual input: ' || len(fields_needed) as resolution_notes from processing_alerts where not is_resolved and len(fields_needed) > 0""",
     "q6_deal_stats": "select 'total' as measure, count(*) as n from deals"
     + "".join(f" union all select 'state:{s}', count(*) filter (state = '{s}') from deals" for s in DEAL_STATES)
     + " union all select 'sponsor_backed', count(*) filter (is_sponsor_backed) from deals"
@@ -238,7 +277,7 @@ SQL = {
     "q15_alert_stats": """select 'total' as measure, count(*) as n from processing_alerts union all select 'unresolved', count(*) from processing_alerts where not is_resolved
         union all select 'type:' || alert_type, count(*) from processing_alerts where not is_resolved group by 1""",
     "q16_search": f"""select id, {_NAME} as title, state from deals where """
-    + " or ".join(f"coalesce(contains(lower({c}), 'group'), false)" for c in ("acquirer_name_raw", "target_name_raw", "sponsor_name_raw"))
+    + " or ".join(f"coalesce(contains(lower({c}), 'group'), false)" for c in ("acquirer_name_raw", "target_name_display", "sponsor_name_raw"))
     + " order by id limit 20",
     "q19_value_and_dates": f"""{_LIST} where deal_value_usd >= 1e8 and deal_value_usd <= 5e9 and announcement_date >= timestamp '2023-01-01'
         and announcement_date <= timestamp '2024-12-31'{_LAST} limit 200""",

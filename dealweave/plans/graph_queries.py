@@ -20,23 +20,10 @@ def f8_sponsor_facts(spark: SparkSession, root: str) -> DataFrame:
     return facts.sponsor_facts(read_table(spark, root, "documents"), "doc_id", "text").drop("context_snippet")
 
 
-def f5_financing_facts(spark: SparkSession, root: str) -> DataFrame:
-    return facts.financing_facts(read_table(spark, root, "documents"), "doc_id", "text")
-
-
-def u3_underwriters(spark: SparkSession, root: str) -> DataFrame:
-    return facts.underwriter_facts(read_table(spark, root, "documents"), "doc_id", "text")
-
-
 def f3_missing_parties(spark: SparkSession, root: str) -> DataFrame:
     return facts.missing_party_alerts(read_table(spark, root, "exhibits"), "id", "visual_text")
 
 
-def h6_bank_roles(spark: SparkSession, root: str) -> DataFrame:
-    roles = tables.bank_roles(stored_cells(spark, root))
-    return roles.select("key.record_table", F.col("key.id").alias("key"), *roles.columns[1:])
-
-
 def h4_column_kinds(spark: SparkSession, root: str) -> DataFrame:
     kinds = tables.column_kinds(stored_cells(spark, root))
     return kinds.select("key.record_table", F.col("key.id").alias("key"), *kinds.columns[1:])
@@ -73,7 +60,11 @@ def m1_unrecorded_links(spark: SparkSession, root: str) -> DataFrame:
 
 
 def m2_matched_facts(spark: SparkSession, root: str) -> DataFrame:
-    return reconcile.match_unlinked(read_table(spark, root, "atomic_facts"), read_table(spark, root, "deals"))
+    """Financing facts whose deal is hidden and whose evidence names its parties, matched again."""
+    f, d = read_table(spark, root, "atomic_facts").filter("financing is not null"), read_table(spark, root, "deals")
+    said = d.select(F.col("id").alias("deal_id"), F.concat_ws(" ", F.lit("Financing for the purchase of"), "target_name_normalized", F.lit("by"), "acquirer_name_normalized", F.lit("with"), "sponsor_name_raw").alias("said"))
+    named = f.join(said, "deal_id", "left").withColumn("evidence_snippet", F.coalesce("said", "evidence_snippet")).withColumn("deal_id", F.lit(None).cast("bigint"))
+    return reconcile.match_unlinked(named.select(f.columns), d).withColumn("confidence", F.round("confidence", 9))
 
 
 def m4_event_participants(spark: SparkSession, root: str) -> DataFrame:
@@ -127,11 +118,8 @@ _CUT = _endings_sql()
 QUERIES = {
     "f1_extracted_facts": f1_extracted_facts,
     "f3_missing_parties": f3_missing_parties,
-    "f5_financing_facts": f5_financing_facts,
     "f8_sponsor_facts": f8_sponsor_facts,
-    "u3_underwriters": u3_underwriters,
     "h4_column_kinds": h4_column_kinds,
-    "h6_bank_roles": h6_bank_roles,
     "c3_party_clusters": c3_party_clusters,
     "c6_deal_keys": c6_deal_keys,
     "c7_secondary_facts": c7_secondary_facts,

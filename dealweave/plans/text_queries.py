@@ -77,13 +77,6 @@ def r14_agreement_dates(spark: SparkSession, root: str) -> DataFrame:
     return d.filter("agreement_date is not null")
 
 
-def r5_defined_terms(spark: SparkSession, root: str) -> DataFrame:
-    """Defined terms and their roles, per text."""
-    d = read_table(spark, root, "documents").filter(F.col("text").contains("("))
-    x = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.DEFINED_TERM), F.lit(1))).alias("label"))
-    return x.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("role", X.role_of_label(F.col("label")))
-
-
 def r8_sponsor_affiliations(spark: SparkSession, root: str) -> DataFrame:
     d = read_table(spark, root, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(P.SPONSOR_AFFILIATION), F.lit(1))).alias("s"))
     return d.groupBy("doc_id", F.trim("s").alias("sponsor_raw")).agg(F.count(F.lit(1)).alias("n"))
@@ -96,20 +89,6 @@ def r15_party_names(spark: SparkSession, root: str) -> DataFrame:
     return names.select("raw", X.normalize_party(F.col("raw")).alias("normalized"), X.display_party(F.col("raw")).alias("display"))
 
 
-def r22_debt_amounts(spark: SparkSession, root: str) -> DataFrame:
-    """Bond and facility wordings by document, type and amount."""
-    d = read_table(spark, root, "documents").filter(F.col("text").contains("$")).select("doc_id", "text")
-
-    def part(pattern: str, group: int, default: str) -> DataFrame:
-        pick = lambda g: F.regexp_extract_all("text", F.lit(pattern), F.lit(g))
-        x = d.select("doc_id", F.explode(F.arrays_zip(pick(1).alias("a"), pick(group).alias("i"))).alias("m"))
-        num, scale = F.regexp_extract("m.a", P.CURRENCY, 1), F.regexp_extract("m.a", P.CURRENCY, 2)
-        return x.select("doc_id", X.instrument_type(F.col("m.i"), default).alias("instrument_type"), F.col("m.a").alias("amount_raw"), X.amount_usd(num, scale).alias("amount_usd"))
-
-    both = part(P.DEBT_INSTRUMENT, 3, "bond").unionByName(part(P.CREDIT_FACILITY, 2, "credit_facility"))
-    return both.groupBy("doc_id", "instrument_type", "amount_raw", "amount_usd").agg(F.count(F.lit(1)).alias("n"))
-
-
 def b2_bank_names(spark: SparkSession, root: str) -> DataFrame:
     """Distinct typed bank names without endings, and without pieces anywhere."""
     n = read_table(spark, root, "financing_participants").select(F.col("bank_name_raw").alias("raw")).filter("raw is not null").distinct()
@@ -158,19 +137,6 @@ def _pieces_sql() -> str:
     return f"trim(regexp_replace({c}, '[\\s\u00a0]+', ' ', 'g'))"
 
 
-def _type_sql(default: str) -> str:
-    whens = " ".join(f"when contains(lower(trim(i)), '{w}') then '{k}'" for w, k in P.INSTRUMENT_TYPES)
-    return f"case {whens} else '{default}' end"
-
-
-def _debt_sql(pattern: str, group: int, default: str) -> str:
-    amount = f"nullif(regexp_extract(a, {_sql(P.CURRENCY)}, 1), '')"
-    return f"""select doc_id, {_type_sql(default)} as instrument_type, a as amount_raw,
-      try_cast(replace({amount}, ',', '') as double) * (select {_SCALE} from (select regexp_extract(a, {_sql(P.CURRENCY)}, 2) as s)) as amount_usd
-      from (select doc_id, unnest(regexp_extract_all(text, {_sql(pattern)}, 1)) as a, unnest(regexp_extract_all(text, {_sql(pattern)}, {group})) as i
-            from documents where contains(text, '$'))"""
-
-
 _ROLE_SQL = """case
   when contains(r, 'bookrunner') then case when contains(r, 'joint') then 'joint_bookrunner' else 'bookrunner' end
   when contains(r, 'co-manager') or contains(r, 'co manager') then 'co_manager'
@@ -180,7 +146,6 @@ _ROLE_SQL = """case
   when contains(r, 'admin') and contains(r, 'agent') then 'admin_agent'
   when contains(r, 'syndication') then 'syndication_agent'
   when contains(r, 'agent') then 'agent' else r end"""
-_LABEL_SQL = "case lower(trim(label)) " + " ".join(f"when '{k}' then '{v}'" for k, v in P.ROLE_LABELS.items()) + " end"
 
 
 def _date_sql() -> str:
@@ -201,12 +166,10 @@ QUERIES = {
     "t4_quality": t4_quality,
     "t5_preamble_digest": t5_preamble_digest,
     "r_gates": r_gates,
-    "r5_defined_terms": r5_defined_terms,
     "r8_sponsor_affiliations": r8_sponsor_affiliations,
     "r13_currency_amounts": r13_currency_amounts,
     "r14_agreement_dates": r14_agreement_dates,
     "r15_party_names": r15_party_names,
-    "r22_debt_amounts": r22_debt_amounts,
     "b2_bank_names": b2_bank_names,
     "m6_roles": m6_roles,
     "h1_table_cells": h1_table_cells,
@@ -219,8 +182,6 @@ SQL = {
         from (select id, cast({_WORDS} as bigint) as words from exhibits)""",
     "t5_preamble_digest": "select id, sha256(left(visual_text, 5000)) as preamble_hash, left(visual_text, 500) as preview from exhibits where visual_text is not null",
     "r_gates": "select doc_id, " + ", ".join(f"coalesce(regexp_matches(text, {_sql(p)}), false) as {n}" for n, p in _GATES.items()) + " from documents",
-    "r5_defined_terms": f"""select doc_id, label, n, {_LABEL_SQL} as role from (
-        select doc_id, label, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, {_sql(P.DEFINED_TERM)}, 1)) as label from documents) group by 1, 2)""",
     "r8_sponsor_affiliations": f"""select doc_id, trim(s) as sponsor_raw, count(*) as n from (
         select doc_id, unnest(regexp_extract_all(text, {_sql(P.SPONSOR_AFFILIATION)}, 1)) as s from documents) group by 1, 2""",
     "r13_currency_amounts": f"""select doc_id, raw, try_cast(replace(num, ',', '') as double) * {_SCALE} as value_usd, count(*) as n from (
@@ -230,8 +191,6 @@ SQL = {
     "r15_party_names": f"""select raw, {_norm_sql()} as normalized,
         {_STRIP.format(f"regexp_replace(regexp_replace(raw, '\\s*\\([^)]*\\)\\s*', ' ', 'g'), {_sql(P.JURISDICTION)}, '', 'g')")} as display
         from (select acquirer_name_raw as raw from deals union select target_name_raw from deals) where raw is not null""",
-    "r22_debt_amounts": f"""select doc_id, instrument_type, amount_raw, amount_usd, count(*) as n from (
-        {_debt_sql(P.DEBT_INSTRUMENT, 3, "bond")} union all {_debt_sql(P.CREDIT_FACILITY, 2, "credit_facility")}) group by 1, 2, 3, 4""",
     "b2_bank_names": f"""select raw, {_endings_sql()} as name_cut, {_pieces_sql()} as name_dropped
         from (select distinct bank_name_raw as raw from financing_participants where bank_name_raw is not null)""",
     "m6_roles": f"""select {_ROLE_SQL} as role_normalized, count(*) as participants

@@ -107,12 +107,20 @@ def index_url(cik: Column, accession: Column, base: str = "https://www.sec.gov/A
     return F.concat(F.lit(f"{base}/"), F.regexp_replace(cik, "^0+(?=.)", ""), F.lit("/"), F.replace(accession, F.lit("-"), F.lit("")), F.lit("/"), accession, F.lit("-index.htm"))
 
 
+_RECENT = ("accessionNumber", "form", "filingDate", "primaryDocument", "primaryDocDescription")
+
+
 def filing_list(spark: SparkSession, path: str, forms: tuple[str, ...] = MERGER_FORMS, start: str | None = None, end: str | None = None) -> DataFrame:
-    """Filings of submission lists stored as JSON (five parallel arrays), of some forms and dates (inclusive)."""
-    r = F.col("filings.recent")
-    cols = ("accessionNumber", "form", "filingDate", "primaryDocument", "primaryDocDescription")
-    raw = spark.read.option("multiLine", True).json(path)
-    x = raw.select("cik", F.explode(F.arrays_zip(*[r[c].alias(c) for c in cols])).alias("f")).select("cik", "f.*").filter(F.col("form").isin(*forms))
+    """Filings of submission lists stored as JSON files, of some forms and dates (inclusive)."""
+    return listed_filings(spark.read.text(path, wholetext=True), "value", forms, start, end)
+
+
+def listed_filings(lists: DataFrame, column: str, forms: tuple[str, ...] = MERGER_FORMS, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Filings of submission lists in a column of JSON (five parallel arrays), of some forms and dates (inclusive)."""
+    arrays = ", ".join(f"{c}: array<string>" for c in _RECENT)
+    parsed = lists.select(F.from_json(column, f"cik string, filings struct<recent: struct<{arrays}>>").alias("j"))
+    zipped = F.arrays_zip(*[F.col(f"j.filings.recent.{c}").alias(c) for c in _RECENT])
+    x = parsed.select("j.cik", F.explode(zipped).alias("f")).select("cik", "f.*").filter(F.col("form").isin(*forms))
     if start:
         x = x.filter(F.col("filingDate") >= start)
     return x.filter(F.col("filingDate") <= end) if end else x

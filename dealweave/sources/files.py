@@ -13,17 +13,22 @@ from dealweave.functions import text as X
 
 
 def read_submissions(spark: SparkSession, path: str) -> DataFrame:
-    """One row (path, accession_number, form_type, sequence, doc_type, filename, text) per document of full submissions."""
+    """Documents of full submissions stored as files, one row each; see ``parse_submissions``."""
     raw = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return parse_submissions(raw, "path", "value")
+
+
+def parse_submissions(raw: DataFrame, key: str, value: str) -> DataFrame:
+    """One row (key, accession_number, form_type, sequence, doc_type, filename, text) per document of full submissions."""
     head = raw.select(
-        "path",
-        X.first_group(F.col("value"), r"ACCESSION NUMBER:\s*(\S+)").alias("accession_number"),
-        X.first_group(F.col("value"), r"CONFORMED SUBMISSION TYPE:\s*([^\r\n]+)").alias("form_type"),
-        F.explode(F.expr("slice(split(value, '<DOCUMENT>'), 2, 1000000)")).alias("d"),
-    )
+        key,
+        X.first_group(F.col(value), r"ACCESSION NUMBER:\s*(\S+)").alias("accession_number"),
+        X.first_group(F.col(value), r"CONFORMED SUBMISSION TYPE:\s*([^\r\n]+)").alias("form_type"),
+        F.posexplode(F.split(value, "<DOCUMENT>")).alias("place", "d"),
+    ).filter("place > 0")
     tag = lambda t: F.trim(X.first_group(F.col("d"), rf"<{t}>([^\r\n<]*)"))
     return head.select(
-        "path", "accession_number", F.trim("form_type").alias("form_type"), tag("SEQUENCE").cast("int").alias("sequence"), tag("TYPE").alias("doc_type"), tag("FILENAME").alias("filename"),
+        key, "accession_number", F.trim("form_type").alias("form_type"), tag("SEQUENCE").cast("int").alias("sequence"), tag("TYPE").alias("doc_type"), tag("FILENAME").alias("filename"),
         X.first_group(F.col("d"), r"(?s)<TEXT>\s*(.*?)\s*</TEXT>").alias("text"),
     )
 

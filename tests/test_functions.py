@@ -19,12 +19,12 @@ def one(spark, value, expr):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("$500,000,000", [5e8]),
-        ("$1.5 billion and $750 million", [1.5e9, 7.5e8]),
-        ("$2.5B", [2.5e9]),
-        ("$500M", [5e8]),
-        ("$1500", [150.0]),
-        ("$500 by", [5e11]),
+        ("$731,250,000", [7.3125e8]),
+        ("from $3.25 billion down to $40 million", [3.25e9, 4e7]),
+        ("$9.1bn", [9.1e9]),
+        ("$63M", [6.3e7]),
+        ("$4812", [481.0]),
+        ("$20 by", [2e10]),
         ("none", []),
     ],
 )
@@ -35,11 +35,11 @@ def test_amounts(spark, raw, want):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("dated as of January 15, 2024", "2024-01-15"),
-        ("entered into on March 3 2023", "2023-03-03"),
-        ("dated as of the 15th day of January, 2024", "2024-01-15"),
+        ("dated as of October 9, 2021", "2021-10-09"),
+        ("entered into on June 30 2022", "2022-06-30"),
+        ("dated as of the 2nd day of August, 2019", "2019-08-02"),
         ("dated 2024-13-45", "2024-13-45"),
-        ("entered into as of January 15, 2024", None),
+        ("entered into as of July 4, 2020", None),
         ("dated as of February 31, 2024", None),
         (None, None),
     ],
@@ -51,12 +51,12 @@ def test_dates(spark, raw, want):
 @pytest.mark.parametrize(
     ("raw", "want"),
     [
-        ("Alpha Holdings, Inc.", "alpha holdings"),
-        ("X, Inc., a Delaware corporation", "x"),
-        ('X, Inc., a Delaware corporation ("Parent")', "x, inc., a delaware corporation"),
+        ("Quorvane Mills, Inc.", "quorvane mills"),
+        ("Ov, Inc., a Nevada corporation", "ov"),
+        ('Ov, Inc., a Nevada corporation ("Buyer")', "ov, inc., a nevada corporation"),
         ("Visa", "vi"),
-        ("Gamma Corp.", "gamma corp"),
-        ("Delta, Corp.", "delta"),
+        ("Tessamo Corp.", "tessamo corp"),
+        ("Ildra, Corp.", "ildra"),
     ],
 )
 def test_party_names(spark, raw, want):
@@ -88,8 +88,8 @@ def test_ratio_is_symmetric_and_bounded(a, b):
 
 
 def test_ratio_values():
-    assert common_subsequence("jpmorgan chase", "jpmorgan chase & co") == 14
-    assert ratio("jpmorgan chase", "jpmorgan chase & co") == pytest.approx(84.848, abs=1e-3)
+    assert common_subsequence("harbor lines", "harbor lines north") == 12
+    assert ratio("harbor lines", "harbor lines north") == pytest.approx(80.0)
     assert partial_ratio("abc", "xxabcx") == 100
 
 
@@ -110,7 +110,7 @@ def test_grid_is_complete(rows):
 
 
 SYNDICATE = """<table><tr><th>Name</th><th>Role</th><th>Amount</th></tr>
-<tr><td>Goldman Sachs</td><td>Joint Bookrunner</td><td>$10</td></tr><tr><td>Acme Capital</td><td>Co-Manager</td><td>$5</td></tr>
+<tr><td>Goldman Sachs</td><td>Joint Bookrunner</td><td>$10</td></tr><tr><td>Ildra Capital</td><td>Co-Manager</td><td>$5</td></tr>
 <tr><td>Total</td><td></td><td>$15</td></tr></table>"""
 
 
@@ -118,7 +118,7 @@ def test_bank_roles(spark):
     pages = spark.createDataFrame([(1, SYNDICATE), (2, None), (3, "<p>none</p>")], "id bigint, html string")
     cells = cells_of(pages, "id", "html").withColumnRenamed("id", "key")
     got = {(r["bank"], r["role"]) for r in tables.bank_roles(cells).collect()}
-    assert got == {("Goldman Sachs", "Joint Bookrunner"), ("Acme Capital", "Co-Manager")}
+    assert got == {("Goldman Sachs", "Joint Bookrunner"), ("Ildra Capital", "Co-Manager")}
     kinds = {r["col_no"]: (r["is_role"], r["is_bank"]) for r in tables.column_kinds(cells).collect()}
     assert kinds[1] == (True, False) and kinds[0][1]
 
@@ -126,9 +126,9 @@ def test_bank_roles(spark):
 @pytest.mark.parametrize(
     ("span", "want"),
     [
-        ("Alpha Inc., Beta Corp., and Gamma LLC", ["Alpha Inc.", "Beta Corp.", "Gamma LLC"]),
-        ("Alpha Inc. (a Delaware corporation, and more), and Beta Corp.", ["Alpha Inc. (a Delaware corporation, and more)", "Beta Corp."]),
-        ('A Inc., a Delaware corporation ("Parent") and B LLC', ['A Inc., a Delaware corporation ("Parent")', "B LLC"]),
+        ("Quorvane Inc., Ildra Corp., and Tessamo LLC", ["Quorvane Inc.", "Ildra Corp.", "Tessamo LLC"]),
+        ("Quorvane Inc. (organised in Nevada, and elsewhere), and Ildra Corp.", ["Quorvane Inc. (organised in Nevada, and elsewhere)", "Ildra Corp."]),
+        ('Ov Inc., a Nevada corporation ("Buyer") and Um LLC', ['Ov Inc., a Nevada corporation ("Buyer")', "Um LLC"]),
         ("", []),
     ],
 )
@@ -138,18 +138,18 @@ def test_split_parties(span, want):
 
 def test_facts_of_documents(spark):
     text = (
-        'AGREEMENT AND PLAN OF MERGER dated as of January 15, 2024, by and among Alpha Holdings Inc. (the "Parent"), Beta Merger Sub Inc. '
-        '("Merger Sub"), and Gamma Corp. (the "Company").'
+        'PLAN OF MERGER dated as of October 9, 2021, by and among Quorvane Holdings Inc. (the "Parent"), Ildra Merger Sub Inc. '
+        '("Merger Sub"), and Tessamo Corp. (the "Company").'
     )
     docs = spark.createDataFrame([(1, text), (2, "MERGER AGREEMENT without parties"), (3, None)], "id bigint, t string")
     got = {r["position"]: (r["role_label"], r["confidence"]) for r in facts.party_facts(docs, "id", "t").collect()}
     assert got == {0: ("Parent", 0.9), 1: ("Merger Sub", 0.9), 2: ("Company", 0.9)}
     assert [r["id"] for r in facts.missing_party_alerts(docs, "id", "t").collect()] == [2]
-    debt = spark.createDataFrame([(1, "issued $500 million aggregate principal amount of 5.25% Senior Notes due 2030 and a $1.2 billion revolving credit facility")], "id bigint, t string")
+    debt = spark.createDataFrame([(1, "sold $731 million aggregate principal amount of 6.5% Senior Notes due 2029 beside a $2.4 billion revolving credit facility")], "id bigint, t string")
     rows = {(r["instrument_type"], r["amount_usd"], r["interest_rate"], r["maturity_year"]) for r in facts.financing_facts(debt, "id", "t").collect()}
-    assert rows == {("bond", 5e8, "5.25%", "2030"), ("rcf", 1.2e9, None, None)}
-    banks = spark.createDataFrame([(1, "agreement with Goldman Sachs and Morgan Stanley, as representatives of the several underwriters")], "id bigint, t string")
-    assert {(r["name_raw"], r["role"]) for r in facts.underwriter_facts(banks, "id", "t").collect()} == {("Goldman Sachs", "representative"), ("Morgan Stanley", "representative")}
+    assert rows == {("bond", 7.31e8, "6.5%", "2029"), ("rcf", 2.4e9, None, None)}
+    banks = spark.createDataFrame([(1, "terms set with Quorvane Securities and Ildra Bank, as representatives of the several underwriters")], "id bigint, t string")
+    assert {(r["name_raw"], r["role"]) for r in facts.underwriter_facts(banks, "id", "t").collect()} == {("Quorvane Securities", "representative"), ("Ildra Bank", "representative")}
     sponsor = spark.createDataFrame([(1, "a portfolio company of Thoma Bravo, which"), (2, "KKR is not a financial sponsor here")], "id bigint, t string")
     found = facts.sponsor_facts(sponsor, "id", "t").collect()
     assert {r["id"] for r in found} == {1} and {r["source_pattern"] for r in found} == {"seed_list"}

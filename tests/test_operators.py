@@ -9,7 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dealweave.operators import cluster, reconcile, resolve
+from dealweave.functions.fuzzy import near_in_texts, partial_ratio, ratio, similar_pairs
+from dealweave.operators import cluster, facts, reconcile, resolve, tables
 from dealweave.operators.graph import connected_components
 from dealweave.operators.orphans import advance, open_state, orphan_counts, orphan_rows, parents_from, references_from
 from dealweave.plans import api
@@ -188,9 +189,12 @@ def test_merge_deals_and_candidates(spark):
     deals = spark.createDataFrame([(1, "k1", "alpha foods holdings"), (2, "k2", "alpha food holdings"), (3, "k3", "omega rail"), (4, "k4", None)], "id bigint, deal_key string, target_name_normalized string")
     assert [(r["deal_a"], r["deal_b"]) for r in cluster.merge_candidates(deals).collect()] == [(1, 2)]
     facts = spark.createDataFrame([(1, 1), (2, 2), (3, None)], "id bigint, deal_id bigint")
-    moved, left = cluster.merge_deals(facts, deals, spark.createDataFrame([(2, 1)], "source_id bigint, target_id bigint"))
+    events = spark.createDataFrame([(7, 2, "x"), (8, 3, "y")], "id bigint, deal_id bigint, target_id string")
+    moved, put, left, alerts = cluster.merge_deals(facts, events, deals, spark.createDataFrame([(2, 1, "same"), (2, 1, "same")], "source_id bigint, target_id bigint, reason string"))
     assert {r["id"]: r["deal_id"] for r in moved.collect()} == {1: 1, 2: 1, 3: None}
+    assert {r["id"]: r["deal_id"] for r in put.select("id", "deal_id").collect()} == {7: 1, 8: 3}
     assert {r["id"] for r in left.collect()} == {1, 3, 4}
+    assert [(r["deal_id"], r["merged_deal_id"], r["description"], r["is_resolved"]) for r in alerts.collect()] == [(1, 2, "same", True)]
 
 
 def test_matching(spark):
@@ -199,14 +203,128 @@ def test_matching(spark):
         [(1, None, "Notes to fund the purchase of Alpha Foods by Big Buyer.", ("bond", 1.0, "$1", None, [("X, N.A.", "Lead Arranger")])), (2, 9, "linked", ("bond", 2.0, "$2", "EUR", None)), (3, None, "nothing", ("bond", 3.0, None, None, None))],
         f"id bigint, deal_id bigint, evidence_snippet string, financing {fin}",
     )
-    deals = spark.createDataFrame([(5, "alpha foods", "big buyer", None), (6, "alpha foods", "other", "Fund LP"), (7, "foods", None, None)], "id bigint, target_name_normalized string, acquirer_name_normalized string, sponsor_name_raw string")
+    columns = "id bigint, state string, target_name_normalized string, acquirer_name_normalized string, sponsor_name_raw string"
+    deals = spark.createDataFrame([(5, "OPEN", "alpha foods", "big buyer", None), (6, "OPEN", "alpha foods", "other", "Fund LP"), (7, "OPEN", "foods", None, None), (4, "LOCKED", "alpha foods", "big buyer", None)], columns)
     got = [(r["fact_id"], r["deal_id"], r["confidence"]) for r in reconcile.match_unlinked(facts, deals).collect()]
     assert got == [(1, 5, pytest.approx(0.8))]
+    assert [r["deal_id"] for r in reconcile.match_unlinked(facts, deals, states=None).collect()] == [4]
+    assert reconcile.match_unlinked(facts, deals.limit(0)).count() == 0 and reconcile.match_unlinked(facts.limit(0), deals).count() == 0
+    with pytest.raises(ValueError):
+        reconcile.match_unlinked(facts, deals, 0.4)
     events = spark.createDataFrame([([2, None],), (None,)], "source_fact_ids array<bigint>")
     assert reconcile.unrecorded_links(facts, events).count() == 0
     assert [(r["bank_name_normalized"], r["role_normalized"]) for r in reconcile.event_participants(facts).collect()] == [("x", "lead_arranger")]
 
 
+def score(deal, evidence):
+    """Confidence of one deal by the stated weights, all names against the whole evidence."""
+    total = 0.0
+    for side, name in zip(("target", "acquirer", "sponsor"), deal[2:]):
+        full, part, above = reconcile.SIDES[side]
+        if name:
+            name = name.lower()
+            near = partial_ratio(name, evidence)
+            total += full if name in evidence else part * near / 100 if near > above else 0.0
+    return min(total, 1.0)
+
+
+def test_matching_equals_all_pairs(spark):
+    """Named, misspelt and glued names, names longer than the evidence, ties: as if every fact met every deal."""
+    rng = random.Random(12)
+    words = ["northwind", "halden", "omega", "steel", "foods", "rail", "capital", "partners", "group", "verstol", "kibrun", "tessamo"]
+    name = lambda k: " ".join(rng.sample(words, k))
+    deals = [(i, "OPEN", name(rng.randint(1, 3)), name(2), rng.choice([None, name(2).title(), "", "x"])) for i in range(40)]
+
+    def typo(text):
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(text))
+            text = text[:at] + rng.choice(["", "q", "zz", " "]) + text[at + rng.randint(0, 1) :]
+        return text
+
+    evidences = [f"{'lead in ' * rng.randint(0, 8)}{typo(d[2])} bought by {typo(d[3])}{' ' + typo(d[4] or 'nobody')}{' and more' * rng.randint(0, 9)}" for d in deals for _ in range(2)]
+    evidences += ["om", "", "steel", "Northwin", typo(deals[0][2])]
+    fin = "struct<instrument_type:string>"
+    facts = spark.createDataFrame([(i, None, e, ("bond",)) for i, e in enumerate(evidences)] + [(900, None, None, ("bond",))], f"id bigint, deal_id bigint, evidence_snippet string, financing {fin}")
+    table = spark.createDataFrame(deals, "id bigint, state string, target_name_normalized string, acquirer_name_normalized string, sponsor_name_raw string")
+    want = {}
+    for i, e in enumerate(evidences):
+        best = max(((round(score(d, e.lower()), 9), -d[0]) for d in deals), default=(0, 0))
+        if best[0] >= 0.5:
+            want[i] = (-best[1], best[0])
+    got = {r["fact_id"]: (r["deal_id"], round(r["confidence"], 9)) for r in reconcile.match_unlinked(facts, table).collect()}
+    assert len(want) > 50 and got == want
+    texts, names = facts.select(F.lower("evidence_snippet").alias("e")).filter("e is not null").distinct(), table.select(F.col("target_name_normalized").alias("name"), F.lit(True).alias("target")).distinct()
+    whole = {tuple(r) for r in reconcile.names_in_texts(texts, names, 85.0).collect()}
+    assert whole == {tuple(r) for r in reconcile.names_in_texts(texts, names, 85.0, block_chars=60).collect()}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc ", max_size=12), max_size=8), st.lists(st.text("abc ", max_size=40), max_size=5), st.sampled_from([60.0, 80.0, 85.0, 92.0]))
+def test_bigram_bounds_lose_nothing(names, texts, least):
+    got = {(i, j): r for i, j, r in near_in_texts(names, texts, least)}
+    assert got == {(i, j): partial_ratio(n, t) for i, n in enumerate(names) for j, t in enumerate(texts) if len(n) > 2 and t and partial_ratio(n, t) > least}
+    pairs = {(i, j) for i, j, _ in similar_pairs(names, texts, least)}
+    assert pairs == {(i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if ratio(n, t) >= least and (n or t)} | {(i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if not n and not t}
+
+
+def test_assigned_deals(spark):
+    party = "struct<party_name_raw:string,party_name_normalized:string,role_label:string,cik:string>"
+    row = lambda i, ex, role, name, cik=None, deal=None: (i, ex, 1, deal, (name, name, role, cik))
+    rows = [
+        row(1, 10, "Company", "t1"), row(2, 10, "Parent", "a1"), row(3, 10, "Buyer", "a2"),  # new deal a1/t1; a2 makes another key
+        row(4, 11, "Target", "t2", "2"), row(5, 11, "Parent", "b", "1"),  # attached to deal 50
+        row(6, 12, "Company", "t3"), row(7, 12, "Parent", "c"),  # deal 51 is locked
+        row(8, 13, "Company", "alone"), row(9, 14, "Parent", "alone"), row(10, 15, "Company", "t1", None, 7), (11, 16, 1, None, None),
+    ]
+    f = spark.createDataFrame(rows, f"id bigint, exhibit_id bigint, filing_id bigint, deal_id bigint, party {party}")
+    d = spark.createDataFrame([(51, "name:c:name:t3", "LOCKED"), (50, "cik:1:cik:2", "OPEN"), (52, "cik:1:cik:2", "LOCKED"), (53, None, "OPEN")], "id bigint, deal_key string, state string")
+    got = cluster.assign_deals(f, d)
+    assert {r["fact_id"]: (r["deal_id"], r["action"]) for r in got.collect()} == {
+        1: (None, "created"), 2: (None, "attached"), 3: (None, "waiting"), 4: (50, "attached"), 5: (50, "attached"), 6: (None, "locked"), 7: (None, "locked"),
+    }
+    assert [tuple(r) for r in cluster.created_deals(got, f).collect()] == [("name:a1:name:t1", "t1", None, 1)]
+    assert {r["action"]: (r["facts"], r["deals"]) for r in cluster.assignment_counts(got).collect()} == {"created": (1, 1), "attached": (3, 2), "waiting": (1, 1), "locked": (2, 1)}
+    assert cluster.assign_deals(f.limit(0), d).count() == 0 and cluster.assign_deals(f, d.limit(0)).filter("action = 'created'").count() == 3
+
+
+def test_links_and_seeds(spark):
+    resolved = spark.createDataFrame([("A Bank", 3), ("New One, Inc.", None), ("new one inc", None), ("???", None), ("", None)], "raw string, bank_id bigint")
+    got = {r["raw"]: r["bank_key"] for r in resolve.link_banks(resolved).collect()}
+    assert got["A Bank"] == "3" and got["New One, Inc."] == got["new one inc"] == "new:new one" and got[""] is None
+    banks = spark.createDataFrame([(1, "A. Bank, Inc", "A")], "id bigint, name string, short_name string")
+    seeds = spark.createDataFrame([("a bank inc", None), ("B Bank", "B"), ("b bank\u00a0", None), (None, "x")], "name string, short_name string")
+    fresh = resolve.seed_banks(banks, seeds)
+    assert [tuple(r) for r in fresh.collect()] == [("B Bank", "B", "b bank")]
+    assert resolve.seed_banks(banks.unionByName(fresh.select(F.lit(2).cast("bigint").alias("id"), "name", "short_name")), seeds).count() == 0
+
+
+def test_item_sections_and_pdf(spark):
+    one = "Item 1.01 Entry into a Material Definitive Agreement\nWe did. See item 5.02 too.\nItem 9.01 Exhibits"
+    df = spark.createDataFrame([(1, one), (2, one.split("Item 9.01")[0]), (3, "Item 8.01 Other"), (4, None)], "id bigint, t string")
+    got = {r["id"]: r["s"] for r in df.select("id", facts.item_section(F.col("t")).alias("s")).collect()}
+    assert got == {1: one.split("Item 9.01")[0], 2: one.split("Item 9.01")[0], 3: None, 4: None}
+    pdf = spark.createDataFrame([(1, True, True, "w " * 60), (2, True, True, "w"), (3, True, False, None), (4, False, True, "w")], "id bigint, is_pdf boolean, is_material boolean, visual_text string")
+    assert {r["id"]: r["outcome"] for r in facts.pdf_outcomes(pdf).collect()} == {1: "processed", 2: "alert", 3: "skipped"}
+    docs = spark.createDataFrame([(1, "A Term Loan of $5 million and $2 billion notes"), (2, "notes"), (3, ""), (4, "plain")], "id bigint, t string")
+    assert {r["id"]: tuple(r)[1:] for r in facts.pdf_financing(docs, "id", "t").collect()} == {1: ("term_loan", 2, 2e9), 2: ("bond", 0, None), 4: (None, 0, None)}
+    labels = spark.createDataFrame([(1, 'by Alpha, Beta Inc (the "Parent") and x ("Unheard"); Gamma (the "Company")'), (2, None)], "id bigint, t string")
+    assert sorted((r["party"], r["label"], r["role"]) for r in facts.labelled_parties(labels, "id", "t").collect()) == [("Beta Inc", "Parent", "acquirer"), ("Gamma", "Company", "target")]
+
+
+def test_plain_bank_rows(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, "Alpha Bank", False), (1, 0, 0, 1, "Beta Securities", False), (1, 0, 0, 2, "Arranger", False), (1, 0, 1, 0, "Gamma Capital", False), (1, 0, 2, 0, "Total", False), (1, 0, 2, 1, "", False)], "key bigint, table_no int, row_no int, col_no int, text string, is_header boolean")
+    assert sorted((r["bank"], r["role"]) for r in tables.plain_bank_rows(cells).collect()) == [("Beta Securities", "Arranger"), ("Gamma Capital", "unknown")]
+
+
+def test_search_and_inputs(spark):
+    deals = spark.createDataFrame([(1, "A_B Corp", "Shown 50%", "t", "S"), (2, "AXB Corp", None, "t", None), (3, None, None, None, None)], "id bigint, acquirer_name_raw string, target_name_display string, target_name_raw string, sponsor_name_raw string").withColumn("state", F.lit("OPEN"))
+    assert [r["id"] for r in api.search(deals, "a_b").collect()] == [1, 2] and [r["id"] for r in api.search(deals, "shown").collect()] == [1]
+    alerts = spark.createDataFrame([(1, False, None), (2, False, None)], "id bigint, is_resolved boolean, resolved_at timestamp_ntz")
+    inputs = spark.createDataFrame([(1, "f", "v", "me", D(2024, 1, 1)), (1, "g", "v", "you", D(2024, 1, 2)), (9, "f", "v", "me", D(2024, 1, 1))], "alert_id bigint, field_name string, value string, entered_by string, entered_at timestamp_ntz")
+    kept, after = api.manual_inputs(alerts, inputs)
+    assert kept.count() == 2 and {r["id"]: (r["is_resolved"], r["resolved_by"]) for r in after.collect()} == {1: (True, "you"), 2: (False, None)}
+
+
 def test_resolution(spark):
     banks = spark.createDataFrame([(1, "Alpha Trust Holdings LLC")], "id bigint, name string")
     aliases = spark.createDataFrame([(1, "AT Group"), (None, "Nobody")], "bank_id bigint, alias string")

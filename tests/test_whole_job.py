@@ -69,5 +69,4 @@ def test_pages_of_exhibits_are_read_too(spark, tmp_path):
     want = [("exhibits", 1), ("exhibits", 3), ("filings", 1)]
     assert sorted((r["record_table"], r["id"]) for r in text_queries.t1_visual_text(spark, root).collect()) == want
     assert sorted({(r["record_table"], r["id"]) for r in text_queries.h1_table_cells(spark, root).collect()}) == want
-    assert sorted((r["record_table"], r["key"]) for r in graph_queries.h6_bank_roles(spark, root).collect()) == want
     assert sorted({(r["record_table"], r["key"]) for r in graph_queries.h4_column_kinds(spark, root).collect()}) == want
