@@ -15,6 +15,7 @@ from dealweave.functions import markup
 from dealweave.functions import patterns as P
 from dealweave.functions import text as X
 from dealweave.operators import cluster, facts, resolve, tables
+from dealweave.plans.text_queries import _endings_sql
 from dealweave.session import read_table
 from dealweave.sources import edgar, files
 
@@ -315,23 +316,10 @@ _ASSIGN = f"""p as (select id, {_SCOPE} as scope, case when lower(party.role_lab
       case when h.state = 'LOCKED' then 'locked' when h.deal_id is not null then 'attached' when x.side = 'target' then 'created' when n.deal_key is not null then 'attached' else 'waiting' end as action
       from x left join h using (deal_key) left join n using (deal_key) where x.deal_key is not null)"""
 _MERGE = "m as (select id, first from (select id, min(id) over (partition by deal_key) as first from deals where deal_key is not null) where id <> first)"
-_CUT = "trim(regexp_replace({}, '[\\s ]+', ' ', 'g'))"
-
-
-def _endings(c: str) -> str:
-    c = f"lower(regexp_replace({c}, '^[\\s ]+|[\\s ]+$', '', 'g'))"
-    for end in (
-        ", n\\.a\\.", " n\\.a\\.", ", na", " na", ", inc\\.", " inc\\.", ", inc", " inc", ", llc", " llc", ", ltd", " ltd", " plc", " ag", " sa", " nv", " bv", " securities", " capital", " bank",
-        "\\& co\\.", "\\& co", " \\& company",
-    ):
-        c = f"regexp_replace({c}, '{end}$', '')"
-    return _CUT.format(c)
-
-
-_EXACT = f"""n as (select distinct bank_name_raw as raw, {_endings("bank_name_raw")} as k from financing_participants where bank_name_raw is not null),
-  l as (select k, min(id) as name_id from (select id, {_endings("name")} as k from banks) group by 1),
-  al as (select k, min(bank_id) as alias_id from (select bank_id, {_endings("alias")} as k from bank_aliases where bank_id is not null) group by 1),
-  z as (select raw, k, coalesce(name_id, alias_id) as bank_id from n left join l using (k) left join al using (k))"""
+_EXACT = f"""names as (select distinct bank_name_raw as raw, {_endings_sql("bank_name_raw")} as k from financing_participants where bank_name_raw is not null),
+  l as (select k, min(id) as name_id from (select id, {_endings_sql("name")} as k from banks) group by 1),
+  al as (select k, min(bank_id) as alias_id from (select bank_id, {_endings_sql("alias")} as k from bank_aliases where bank_id is not null) group by 1),
+  z as (select raw, k, coalesce(name_id, alias_id) as bank_id from names left join l using (k) left join al using (k))"""
 
 QUERIES = {
     f.__name__: f
@@ -403,4 +391,14 @@ SQL = {
     "a5_weighted_shares": """with p as (select id, financing_event_id, greatest(coalesce(role_weight, 0), 0) as w from financing_participants)
       select p.id, p.financing_event_id, round(e.amount_usd * case when sum(w) over q > 0 then w / sum(w) over q else 1.0 / count(*) over q end, 2) as amount_usd
       from p join financing_events e on e.id = p.financing_event_id and e.amount_usd is not null window q as (partition by p.financing_event_id)""",
+    "q17_pipeline_counts": f"""with {_ASSIGN}, {_EXACT}, placed as (select fact_id, min(deal_id) as d from a where deal_id is not null group by 1),
+      g as (select id, {_SCOPE} as scope, party is not null as has_party, financing is not null as has_money, coalesce(deal_id, placed.d) as deal_id from atomic_facts left join placed on placed.fact_id = id),
+      o as (select scope, min(deal_id) as d from g where has_party and deal_id is not null group by 1),
+      w as (select g.id, g.has_money, coalesce(g.deal_id, case when not g.has_party then o.d end) as deal_id from g left join o using (scope)),
+      used as (select distinct unnest(source_fact_ids) as id from financing_events)
+      select 'clustered_facts' as step, count(*) as n from a where action = 'attached'
+      union all select 'created_deals', count(distinct deal_key) from a where action = 'created'
+      union all select 'facts_with_deal', count(*) from w where deal_id is not null
+      union all select 'new_events', count(*) from w where has_money and deal_id is not null and id not in (select id from used where id is not null)
+      union all select 'resolved_names', count(*) from z where bank_id is not null""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dealweave.functions import patterns as P
 from dealweave.operators import cluster, facts, reconcile, resolve, tables
-from dealweave.plans.text_queries import _endings_sql, _pieces_sql, _ROLE_SQL, stored_cells
+from dealweave.plans.text_queries import _AFFILIATION, _endings_sql, _pieces_sql, _ROLE_SQL, stored_cells
 from dealweave.session import read_table
 
 
@@ -134,7 +134,21 @@ QUERIES = {
     "b4_unlisted_banks": b4_unlisted_banks,
     "a5_bank_league_table": a5_bank_league_table,
 }
+_NEGATED = "'(?i)\\b(?:not\\s+a\\s+(?:financial\\s+)?sponsor|independent\\s+of\\s+(?:any\\s+)?sponsor|no\\s+sponsor|without\\s+(?:any\\s+)?sponsor|non-sponsored)\\b'"
+_ALIASES = ", ".join("('" + k.replace("'", "''") + "')" for k in P.SPONSORS)
 SQL = {
+    "f3_missing_parties": """select id, sha256(left(visual_text, 5000)) as preamble_hash, left(visual_text, 500) as preamble_preview from exhibits
+      where regexp_matches(left(visual_text, 5000), '(?i)(?:AGREEMENT\\s+AND\\s+PLAN\\s+OF\\s+MERGER|PLAN\\s+OF\\s+MERGER|MERGER\\s+AGREEMENT)')
+        and not regexp_matches(left(visual_text, 5000), '(?ism)\\bby\\s+and\\s+(?:among|between)\\b\\s+(.+)\\.\\s*$')
+        and not regexp_matches(left(visual_text, 5000), '(?ism)(?:entered\\s+into|made)\\s+(?:by\\s+and\\s+)?(?:among|between)\\s+(.+)\\.\\s*$')""",
+    "f8_sponsor_facts": f"""with a as (select * from (values {_ALIASES}) as v(alias)),
+      s as (select doc_id, text, alias, strpos(lower(text), alias) as pos from documents join a on contains(lower(text), alias)),
+      p as (select doc_id, text, trim(x) as raw from (select doc_id, text, unnest(regexp_extract_all(text, {_AFFILIATION}, 1)) as x from documents) where trim(x) <> ''),
+      q as (select *, trim(regexp_replace(regexp_replace(lower(raw), '[,.\\-'']', '', 'g'), '\\s+', ' ', 'g')) as norm from p)
+      select doc_id, substring(text, pos, length(alias)) as sponsor_name_raw, alias as sponsor_name_normalized, 'seed_list' as source_pattern, 0.95 as confidence from s
+        where not regexp_matches(substring(text, greatest(pos - 150, 1), pos + length(alias) + 150 - greatest(pos - 150, 1)), {_NEGATED})
+      union all select doc_id, raw, norm, case when norm in (select alias from a) then 'seed_list' else 'affiliation_pattern' end, case when norm in (select alias from a) then 0.95 else 0.85 end
+        from q where not regexp_matches(text, {_NEGATED})""",
     "c3_party_clusters": f"""with {_PARTIES}, f as (select scope, side, arg_min(struct_pack(name := name, cik := cik), id) as f from p where side is not null group by 1, 2)
       select * from (
         select p.id as fact_id, {_key_sql("f.f.cik", "f.f.name", "p.cik", "p.name")} as deal_key from p join f on f.scope = p.scope and f.side = 'acquirer' where p.side = 'target'

@@ -123,16 +123,19 @@ def _norm_sql() -> str:
     return f"lower({_STRIP.format(c)})"
 
 
-def _endings_sql() -> str:
-    c = "lower(regexp_replace(raw, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g'))"
-    for e in P.BANK_ENDINGS:
-        c = f"regexp_replace({c}, '{X._quoted(e)}$', '')"
+def _endings_sql(c: str = "raw") -> str:
+    c = f"lower(regexp_replace({c}, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g'))"
+    for end in (
+        ", n\\.a\\.", " n\\.a\\.", ", na", " na", ", inc\\.", " inc\\.", ", inc", " inc", ", llc", " llc", ", ltd", " ltd", " plc", " ag", " sa", " nv", " bv", " securities", " capital", " bank",
+        "\\& co\\.", "\\& co", " \\& company",
+    ):
+        c = f"regexp_replace({c}, '{end}$', '')"
     return f"trim(regexp_replace({c}, '[\\s\u00a0]+', ' ', 'g'))"
 
 
 def _pieces_sql() -> str:
     c = "lower(regexp_replace(raw, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g'))"
-    for e in P.BANK_PIECES:
+    for e in (", n.a.", " n.a.", ", na", ", inc", " inc", " llc", " ltd"):
         c = f"replace({c}, '{e}', '')"
     return f"trim(regexp_replace({c}, '[\\s\u00a0]+', ' ', 'g'))"
 
@@ -148,6 +151,10 @@ _ROLE_SQL = """case
   when contains(r, 'agent') then 'agent' else r end"""
 
 
+_AMOUNT = "'(?i)\\$\\s?(\\d{1,3}(?:,\\d{3})*(?:\\.\\d+)?)\\s*(billion|million|b|m|bn|mm|mil)?'"
+_AFFILIATION = "'(?i)(?:affiliates?\\s+of|funds?\\s+managed\\s+by|portfolio\\s+compan(?:y|ies)\\s+of|controlled\\s+by)\\s+([A-Z][A-Za-z0-9\\s,&.''-]{2,80}?)(?:\\.|,|;|\\s+and\\b|\\s+\\)|$)'"
+
+
 def _date_sql() -> str:
     head = "left(text, 1000)"
 
@@ -183,10 +190,10 @@ SQL = {
     "t5_preamble_digest": "select id, sha256(left(visual_text, 5000)) as preamble_hash, left(visual_text, 500) as preview from exhibits where visual_text is not null",
     "r_gates": "select doc_id, " + ", ".join(f"coalesce(regexp_matches(text, {_sql(p)}), false) as {n}" for n, p in _GATES.items()) + " from documents",
     "r8_sponsor_affiliations": f"""select doc_id, trim(s) as sponsor_raw, count(*) as n from (
-        select doc_id, unnest(regexp_extract_all(text, {_sql(P.SPONSOR_AFFILIATION)}, 1)) as s from documents) group by 1, 2""",
+        select doc_id, unnest(regexp_extract_all(text, {_AFFILIATION}, 1)) as s from documents) group by 1, 2""",
     "r13_currency_amounts": f"""select doc_id, raw, try_cast(replace(num, ',', '') as double) * {_SCALE} as value_usd, count(*) as n from (
-        select doc_id, unnest(regexp_extract_all(text, {_sql(P.CURRENCY)}, 0)) as raw, unnest(regexp_extract_all(text, {_sql(P.CURRENCY)}, 1)) as num,
-          unnest(regexp_extract_all(text, {_sql(P.CURRENCY)}, 2)) as s from documents) group by 1, 2, 3""",
+        select doc_id, unnest(regexp_extract_all(text, {_AMOUNT}, 0)) as raw, unnest(regexp_extract_all(text, {_AMOUNT}, 1)) as num,
+          unnest(regexp_extract_all(text, {_AMOUNT}, 2)) as s from documents) group by 1, 2, 3""",
     "r14_agreement_dates": f"select * from (select doc_id, {_date_sql()} as agreement_date from documents) where agreement_date is not null",
     "r15_party_names": f"""select raw, {_norm_sql()} as normalized,
         {_STRIP.format(f"regexp_replace(regexp_replace(raw, '\\s*\\([^)]*\\)\\s*', ' ', 'g'), {_sql(P.JURISDICTION)}, '', 'g')")} as display
