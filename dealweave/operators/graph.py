@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.session import cut_lineage
+from dealweave.session import cut_lineage, release
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,7 +22,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     both = cut_lineage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = nodes.select(F.col(node).alias("n")).filter("n is not null").distinct().withColumn("l", F.col("n"))
     linked = both.select(F.col("a").alias("n")).distinct()
-    labels = cut_lineage(labels.join(linked, "n", "left_semi"))
+    labels = table = cut_lineage(labels.join(linked, "n", "left_semi"))
     while True:
         near = both.join(labels, both["b"] == labels["n"]).groupBy("a").agg(F.min("l").alias("m"))
         step = (
@@ -33,8 +33,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
         step = cut_lineage(
             step.join(jump, step["l"] == jump["jn"], "left").select("n", "old", F.least("l", F.coalesce("jl", "l")).alias("l"))
         )
-        labels = step.select("n", "l")
+        release(table)
+        labels, table = step.select("n", "l"), step
         if step.filter("old <> l").isEmpty():
             break
+    release(both)
     every = nodes.select(F.col(node).alias("n")).filter("n is not null").distinct()
     return every.join(labels, "n", "left").select(F.col("n").alias(node), F.coalesce("l", "n").alias("component"))

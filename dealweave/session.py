@@ -44,7 +44,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
         return
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="dealweave-checkpoint-"))
 
@@ -54,7 +54,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Unlike ``checkpoint()``, which computes its rows twice, this computes them
     once, and the planner knows the size of what it reads.  The table lives until
-    the driver's file system closes.
+    ``release`` removes it or the driver's file system closes.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -63,7 +63,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables that ``cut_lineage`` wrote, once all that reads them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def wide_parallelism(spark: SparkSession) -> int:
