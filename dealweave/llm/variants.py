@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from dealweave.llm.lexicon import ABBREVIATIONS, LEGAL_FORMS, NICKNAMES, fold, name_tokens, osa_within, strip_legal
 from dealweave.operators.graph import connected_components
-from dealweave.session import cut_lineage, wide_parallelism
+from dealweave.session import cut_lineage, release, wide_parallelism
 
 #: Forms under one anchor that meet in one task; more are split by salt.
 ANCHOR_BLOCK = 512
@@ -113,17 +113,18 @@ def near_words(words: DataFrame, by: list[str], depth: int) -> DataFrame:
     Found through a symmetric-delete index of ``depth`` deletions: two words
     that need more on either side to meet are not found.
     """
-    entry = F.explode(F.expr(entries_sql("word", depth)))
-    # The few words are cheap to move and turn into many entries: expand them on all cores.
-    spread = words.filter(F.length("word") > 1).select(*by, "word").repartition(wide_parallelism(words.sparkSession), *by, "word")
-    index = spread.select(*by, "word", entry.alias("entry")).withColumn("entry", F.xxhash64(*by, "entry"))
-    other = index.select("entry", *[F.col(c).alias(f"_{c}") for c in by], F.col("word").alias("other"))
-    same = [F.col(c) == F.col(f"_{c}") for c in by]
-    met = index.join(other, "entry").filter(F.col("word") < F.col("other"))
-    for c in same:
-        met = met.filter(c)
+    # The few words are cheap to move and turn into many entries: expand them on all cores.  Entries and
+    # words meet as hashes, which sort fast; equal hashes of different strings fail the comparison later.
+    known = words.filter(F.length("word") > 1).select(F.xxhash64(*by, "word").alias("_i"), *by, "word")
+    known = known.repartition(wide_parallelism(words.sparkSession), F.xxhash64("word", "_i"))
+    index = known.select("_i", *by, F.explode(F.expr(entries_sql("word", depth))).alias("entry")).select("_i", F.xxhash64(*by, "entry").alias("entry"))
+    met = index.join(index.select("entry", F.col("_i").alias("_j")), "entry").filter("_i < _j").select("_i", "_j").distinct()
+    other = known.select(F.col("_i").alias("_j"), *[F.col(c).alias(f"_{c}") for c in by], F.col("word").alias("other"))
+    met = met.join(known, "_i").join(other, "_j").filter("word <> other")
+    for c in by:
+        met = met.filter(F.col(c) == F.col(f"_{c}"))
     schema = ", ".join(f"{c} string" for c in (*by, "word", "other"))
-    one = met.select(*by, "word", "other").distinct().mapInPandas(_near, schema)
+    one = met.select(*by, "word", "other").mapInPandas(_near, schema)
     ways = F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other")))
     return one.select(*by, F.inline(ways))
 
@@ -307,8 +308,8 @@ def link_variants(names: DataFrame, field: str = "field", name: str = "name") ->
     """
     parts = wide_parallelism(names.sparkSession)
     distinct = names.select(F.col(field).alias("field"), F.col(name).alias("name")).filter("field is not null and name is not null").distinct()
-    feats = cut_lineage(
-        distinct.repartition(parts, "field", "name").mapInPandas(_features, "field string, name string, words array<string>, formal boolean, keys array<string>, probes array<string>, anchors array<string>, capitals array<string>")
+    feats = typed = cut_lineage(
+        distinct.repartition(parts, F.xxhash64("name", "field")).mapInPandas(_features, "field string, name string, words array<string>, formal boolean, keys array<string>, probes array<string>, anchors array<string>, capitals array<string>")
     )
     # Names of the same words in any order are one form; (field, form) in one string is a
     # node, fields never hold the separator.  Names without words are forms of their own.
@@ -389,6 +390,7 @@ def link_variants(names: DataFrame, field: str = "field", name: str = "name") ->
     pairs = pairs.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"), "words_a", "words_b", (F.col("formal_a") & F.col("formal_b")).alias("formal"))
     links = pairs.mapInPandas(_verify, "src string, dst string, cost double")
     links = cut_lineage(links.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
+    release(vocabulary, near, ranked, leading, anchored)
 
     # Each form joins its closest one of at least its own support, and its closest of more
     # than that, so that a mistyped form seldom bridges two entities; two forms typed in three or more ways each are both
@@ -405,6 +407,7 @@ def link_variants(names: DataFrame, field: str = "field", name: str = "name") ->
     chosen = chosen.select("src", F.explode(F.array("one", "two")).alias("dst")).filter("dst is not null")
     grouped = connected_components(forms.select("node"), chosen)
     comps = cut_lineage(grouped.join(feats.select("node", "field", "name", "keys", "probes"), "node"))
+    release(typed, forms, links)
 
     # Entities of one-word names only (initials, first words, names that are one word)
     # join the entity that most of the names with their key belong to, if it has three
