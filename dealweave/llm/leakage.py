@@ -3,10 +3,12 @@
 The held-out items are a small query set, processed in blocks of bounded size:
 each block's token grams are broadcast, so the corpus is scanned where it lies
 and never shuffled.  In each document, runs of words that all occur in the
-block are probed with a rolling hash for seeds of ``min_words`` words; a
+block are probed with a rolling hash for seeds of ``min_tile`` words; a
 document and an item that share a seed are tiled: the longest match between
 words not yet marked is marked first, again and again, until no match of
-``min_words`` is left.  Tiles may come in any order, so reordered passages count.
+``min_tile`` is left.  Tiles may come in any order, so reordered passages count:
+an item has leaked if one tile is long enough or if all tiles together cover
+enough of it.
 """
 
 from __future__ import annotations
@@ -139,17 +141,22 @@ def find_leaks(
     text: str = "text",
     min_words: int = 12,
     block_words: int = BLOCK_WORDS,
+    min_tile: int | None = None,
+    min_share: float | None = None,
 ) -> DataFrame:
     """One row (doc key, item key, leaked_words, longest_passage, passages, item_share) per leak.
 
     A leak is a passage of at least ``min_words`` consecutive words that the
-    document has in common with the item; ``item_share`` is the part of the
-    item's words covered by tiles.  Null and short texts leak nothing; repeated
+    document has in common with the item, or, with ``min_share``, tiles of at
+    least ``min_tile`` words (``min_words`` if none is given) that cover that
+    part of the item's words, in whatever order.  ``item_share`` is the part of
+    the item's words covered by tiles.  Null and short texts leak nothing; repeated
     item keys keep one text (the smallest), repeated rows of ``docs`` give one
     result each.  Items are streamed to the driver and packed into blocks of at
     most ``block_words`` words (one item may exceed it alone), each block scans
     ``docs`` once.
     """
+    tile = min_words if min_tile is None else min(min_tile, min_words)
     schema = T.StructType(
         [
             T.StructField(doc_key, docs.schema[doc_key].dataType),
@@ -176,12 +183,13 @@ def find_leaks(
         sizes = {k: len(ws) for k, ws in block}
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = _Block(shared.value, min_words)
+            index = _Block(shared.value, tile)
             for pdf in batches:
                 hits = [
                     (d, k, words, longest, tiles, words / sizes[k])
                     for d, t in zip(pdf["_key"], pdf["_text"])
                     for k, words, longest, tiles in index.search(t)
+                    if longest >= min_words or (min_share is not None and words >= min_share * sizes[k])
                 ]
                 yield pd.DataFrame(hits, columns=schema.names)
 

@@ -108,6 +108,12 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return leaks.select("doc_id", "item_id").distinct()
 
 
+def p8_reordered(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold an item in a long passage or, in whatever order, half of it in passages of five words or more."""
+    leaks = leakage.find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items"), min_tile=5, min_share=0.5)
+    return leaks.select("doc_id", "item_id", "leaked_words", "longest_passage", "item_share")
+
+
 def p8_leaked_items(spark: SparkSession, root: str) -> DataFrame:
     """Evaluation items that leaked, with the number of documents and the largest share."""
     return leakage.leaked_items(leakage.find_leaks(read_table(spark, root, "documents"), read_table(spark, root, "eval_items")))

@@ -121,6 +121,22 @@ def test_trees_learn_a_rule():
     assert ((model.log_odds(x[1500:]) > 0) == (y[1500:] > 0)).mean() > 0.95
 
 
+def test_reordered_passages(spark):
+    random.seed(9)
+    item = [f"w{k}" for k in range(40)]
+    pieces = [item[k : k + 8] for k in range(0, 40, 8)]
+    random.shuffle(pieces)
+    while any(b[0] == item[(item.index(a[-1]) + 1) % 40] for a, b in zip(pieces, pieces[1:])):
+        random.shuffle(pieces)
+    rows = [(1, " x ".join(" ".join(p) for p in pieces)), (2, " y ".join(" ".join(p) for p in pieces[:2])), (3, " ".join(item[:12])), (4, None), (5, " ".join(reversed(item)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, None), (9, "")], "item_id bigint, text string")
+    assert [r["doc_id"] for r in leakage.find_leaks(docs, items).collect()] == [3]
+    got = {r["doc_id"]: (r["leaked_words"], r["item_share"]) for r in leakage.find_leaks(docs, items, min_tile=5, min_share=0.5).collect()}
+    assert got == {1: (40, 1.0), 3: (12, 0.3)}
+    assert leakage.find_leaks(docs, items, min_tile=5, min_share=0.4).count() == 3
+
+
 SITE = (
     '<html><head><title>T - Site</title></head><body>\n<div class="menu"><a href="/a">Home</a> | <a href="/b">Jobs</a></div>\n<div class="story">\n'
     "<h1>Offer number {n} for a company</h1>\n<p>The buyer of company {n} completed its purchase after months of talks and will keep the brand.</p>\n"
