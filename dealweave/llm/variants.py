@@ -113,18 +113,16 @@ def near_words(words: DataFrame, by: list[str], depth: int) -> DataFrame:
     Found through a symmetric-delete index of ``depth`` deletions: two words
     that need more on either side to meet are not found.
     """
-    # The few words are cheap to move and turn into many entries: expand them on all cores.  Entries and
-    # words meet as hashes, which sort fast; equal hashes of different strings fail the comparison later.
-    known = words.filter(F.length("word") > 1).select(F.xxhash64(*by, "word").alias("_i"), *by, "word")
-    known = known.repartition(wide_parallelism(words.sparkSession), F.xxhash64("word", "_i"))
-    index = known.select("_i", *by, F.explode(F.expr(entries_sql("word", depth))).alias("entry")).select("_i", F.xxhash64(*by, "entry").alias("entry"))
-    met = index.join(index.select("entry", F.col("_i").alias("_j")), "entry").filter("_i < _j").select("_i", "_j").distinct()
-    other = known.select(F.col("_i").alias("_j"), *[F.col(c).alias(f"_{c}") for c in by], F.col("word").alias("other"))
-    met = met.join(known, "_i").join(other, "_j").filter("word <> other")
+    # The few words are cheap to move and turn into many entries: expand them on all cores.
+    known = words.filter(F.length("word") > 1).select(*by, "word").repartition(wide_parallelism(words.sparkSession), F.xxhash64("word", *by))
+    index = known.select(*by, "word", F.explode(F.expr(entries_sql("word", depth))).alias("entry")).withColumn("entry", F.xxhash64(*by, "entry"))
+    # Both sides have the same columns, so they are one exchange; a join that sorts keeps them off the driver.
+    other = index.select("entry", *[F.col(c).alias(f"_{c}") for c in by], F.col("word").alias("other")).hint("merge")
+    met = index.join(other, "entry").filter(F.col("word") < F.col("other"))
     for c in by:
         met = met.filter(F.col(c) == F.col(f"_{c}"))
     schema = ", ".join(f"{c} string" for c in (*by, "word", "other"))
-    one = met.select(*by, "word", "other").mapInPandas(_near, schema)
+    one = met.select(*by, "word", "other").distinct().mapInPandas(_near, schema)
     ways = F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other")))
     return one.select(*by, F.inline(ways))
 
@@ -386,7 +384,7 @@ def link_variants(names: DataFrame, field: str = "field", name: str = "name") ->
     right = anchored.select("field", "beside", F.col("anchor").alias("other"), *[F.col(c).alias(f"{c}_b") for c in columns])
     right = right.join(blocks, ["field", "beside", "other"]).withColumn("salt", F.explode(F.expr("sequence(0L, blocks - 1L)"))).drop("blocks")
     meet = ["field", "beside", "other", "salt"]
-    pairs = left.repartition(parts, *meet).join(right.repartition(parts, *meet), meet).filter("node_a < node_b")
+    pairs = left.repartition(parts, *meet).join(right.repartition(parts, *meet).hint("merge"), meet).filter("node_a < node_b")
     pairs = pairs.select(F.col("node_a").alias("src"), F.col("node_b").alias("dst"), "words_a", "words_b", (F.col("formal_a") & F.col("formal_b")).alias("formal"))
     links = pairs.mapInPandas(_verify, "src string, dst string, cost double")
     links = cut_lineage(links.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
