@@ -177,12 +177,34 @@ def near_names(names: DataFrame, least: float) -> DataFrame:
 def merge_candidates(deals: DataFrame, least: float = 85.0) -> DataFrame:
     """(deal_a, deal_b, similarity): deals of different keys whose target names are more alike than ``least``.
 
-    All distinct names whose lengths allow the similarity are compared; then deals are joined to the names.
+    Deals are told apart by name and key; the one with the smallest id stands for
+    its copies (``candidate_members``).  Of one name, the first deal meets the
+    first of every other key; of two names that are alike, the first two deals
+    of different keys meet.  So rows grow with the names that are alike, not with
+    the deals that have them, and every two alike names are linked.
     """
     d = deals.filter("target_name_normalized is not null and deal_key is not null").select("id", "deal_key", F.lower("target_name_normalized").alias("name"))
-    names = d.select("name").distinct()
-    near = near_names(names, least)
-    same = names.select("name", F.col("name").alias("other"), F.lit(100.0).alias("similarity"))
-    a, b = d.select(F.col("id").alias("deal_a"), F.col("deal_key").alias("key_a"), "name"), d.select(F.col("id").alias("deal_b"), F.col("deal_key").alias("key_b"), F.col("name").alias("other"))
-    out = near.unionByName(near.select(F.col("other").alias("name"), F.col("name").alias("other"), "similarity")).unionByName(same)
-    return out.join(a, "name").join(b, "other").filter("deal_a < deal_b and key_a <> key_b").select("deal_a", "deal_b", "similarity").distinct()
+    kinds = d.groupBy("name", "deal_key").agg(F.min("id").alias("id"))
+    first = kinds.groupBy("name").agg(F.min(F.struct("id", "deal_key")).alias("one"))
+    others = kinds.join(first, "name").filter(F.col("deal_key") != F.col("one.deal_key"))
+    same = others.select(F.col("one.id").alias("deal_a"), F.col("id").alias("deal_b"), F.lit(100.0).alias("similarity"))
+    second = others.groupBy("name").agg(F.min(F.struct("id", "deal_key")).alias("two"))
+    firsts = first.join(second, "name", "left")
+    a = firsts.select("name", F.col("one").alias("a1"), F.col("two").alias("a2"))
+    b = firsts.select(F.col("name").alias("other"), F.col("one").alias("b1"), F.col("two").alias("b2"))
+
+    def pair(x: str, y: str) -> Column:
+        ids = F.struct(F.least(f"{x}.id", f"{y}.id").alias("deal_a"), F.greatest(f"{x}.id", f"{y}.id").alias("deal_b"))
+        return F.when(F.col(f"{x}.deal_key") != F.col(f"{y}.deal_key"), ids)
+
+    met = near_names(d.select("name").distinct(), least).join(a, "name").join(b, "other")
+    choice = F.coalesce(pair("a1", "b1"), F.least(pair("a1", "b2"), pair("a2", "b1")))
+    near = met.select(choice.alias("p"), "similarity").filter("p is not null").select("p.deal_a", "p.deal_b", "similarity")
+    return same.unionByName(near)
+
+
+def candidate_members(deals: DataFrame) -> DataFrame:
+    """(deal_id, representative): the deal that stands for each deal among merge candidates."""
+    d = deals.filter("target_name_normalized is not null and deal_key is not null").select(F.col("id").alias("deal_id"), "deal_key", F.lower("target_name_normalized").alias("name"))
+    first = d.groupBy("name", "deal_key").agg(F.min("deal_id").alias("representative"))
+    return d.join(first, ["name", "deal_key"]).select("deal_id", "representative")

@@ -55,6 +55,10 @@ def c11_merge_candidates(spark: SparkSession, root: str) -> DataFrame:
     return cluster.merge_candidates(read_table(spark, root, "deals"))
 
 
+def c11_members(spark: SparkSession, root: str) -> DataFrame:
+    return cluster.candidate_members(read_table(spark, root, "deals"))
+
+
 def m1_unrecorded_links(spark: SparkSession, root: str) -> DataFrame:
     return reconcile.unrecorded_links(read_table(spark, root, "atomic_facts"), read_table(spark, root, "financing_events"))
 
@@ -126,6 +130,7 @@ QUERIES = {
     "c8_sponsor_fold": c8_sponsor_fold,
     "c9_date_fold": c9_date_fold,
     "c11_merge_candidates": c11_merge_candidates,
+    "c11_members": c11_members,
     "m1_unrecorded_links": m1_unrecorded_links,
     "m2_matched_facts": m2_matched_facts,
     "m4_event_participants": m4_event_participants,
@@ -149,6 +154,8 @@ SQL = {
         where not regexp_matches(substring(text, greatest(pos - 150, 1), pos + length(alias) + 150 - greatest(pos - 150, 1)), {_NEGATED})
       union all select doc_id, raw, norm, case when norm in (select alias from a) then 'seed_list' else 'affiliation_pattern' end, case when norm in (select alias from a) then 0.95 else 0.85 end
         from q where not regexp_matches(text, {_NEGATED})""",
+    "c11_members": """select id as deal_id, min(id) over (partition by lower(target_name_normalized), deal_key) as representative from deals
+      where target_name_normalized is not null and deal_key is not null""",
     "c3_party_clusters": f"""with {_PARTIES}, f as (select scope, side, arg_min(struct_pack(name := name, cik := cik), id) as f from p where side is not null group by 1, 2)
       select * from (
         select p.id as fact_id, {_key_sql("f.f.cik", "f.f.name", "p.cik", "p.name")} as deal_key from p join f on f.scope = p.scope and f.side = 'acquirer' where p.side = 'target'

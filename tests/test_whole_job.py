@@ -55,10 +55,19 @@ def test_candidates_are_all_pairs(spark):
     for base in ["northwind steel", "halden foods group", "omega"] * 12:
         at = rng.randrange(len(base))
         names.append(base[:at] + rng.choice("xyz e") * rng.randrange(3) + base[at + rng.randrange(3) :])
-    deals = spark.createDataFrame([(i, f"k{i}", n) for i, n in enumerate(names)], "id bigint, deal_key string, target_name_normalized string")
+    rows = [(i, f"k{i % 70}", n) for i, n in enumerate([*names, *names[:20], names[0], names[2]])]
+    deals = spark.createDataFrame(rows, "id bigint, deal_key string, target_name_normalized string")
     for least in (85.0, 60.0):
-        want = {(i, j, ratio(x, y)) for i, x in enumerate(names) for j, y in enumerate(names) if i < j and ratio(x, y) > least}
-        assert {tuple(r) for r in cluster.merge_candidates(deals, least).collect()} == want
+        got = {tuple(r) for r in cluster.merge_candidates(deals, least).collect()}
+        key, name = {i: k for i, k, _ in rows}, {i: n for i, _, n in rows}
+        # Every row is true, and every two alike names of different keys are linked once.
+        assert all(i < j and key[i] != key[j] and (s == 100.0 if name[i] == name[j] else s == ratio(name[i], name[j]) > least) for i, j, s in got)
+        alike = {frozenset((m, n)) for i, k, m in rows for j, l, n in rows if m != n and k != l and ratio(m, n) > least}
+        assert sorted(map(sorted, alike)) == sorted(sorted((name[i], name[j])) for i, j, _ in got if name[i] != name[j])
+        keys = {(n, k) for _, k, n in rows}
+        assert sum(name[i] == name[j] for i, j, _ in got) == len(keys) - len({n for n, _ in keys})
+    members = {r["deal_id"]: r["representative"] for r in cluster.candidate_members(deals).collect()}
+    assert len(members) == len(rows) and all(members[i] == min(j for j, l, m in rows if (l, m) == (k, n)) for i, k, n in rows)
 
 
 def test_pages_of_exhibits_are_read_too(spark, tmp_path):
