@@ -73,13 +73,14 @@ def fold_sponsors(facts: DataFrame) -> DataFrame:
     s = facts.filter("deal_id is not null and sponsor is not null and not coalesce(sponsor.is_negated, false)").select(
         "deal_id", "id", F.col("sponsor.sponsor_name_raw").alias("raw"), F.coalesce("confidence", F.lit(0.0)).alias("conf"), F.lower(F.col("sponsor.sponsor_name_normalized")).alias("norm")
     )
-    before = F.max("conf").over(Window.partitionBy("deal_id").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
-    s = s.withColumn("applied", before.isNull() | (F.col("conf") > before))
-    unknown = F.col("applied") & ~F.coalesce(F.col("norm").isin(*P.SPONSORS), F.lit(False))
-    return s.groupBy("deal_id").agg(
-        F.max_by("raw", F.struct("conf", -F.col("id"))).alias("sponsor_name_raw"),
-        F.max("conf").alias("sponsor_confidence"),
-        F.bool_or(unknown).alias("unresolved"),
+    # A mention is applied if no earlier one is as confident.  Only the first of each confidence can be, so one row for
+    # each confidence is enough, and it is applied if all that are more confident come later.
+    first = s.groupBy("deal_id", "conf").agg(F.min("id").alias("id"), F.min_by(F.struct("raw", "norm"), "id").alias("m"))
+    later = F.min("id").over(Window.partitionBy("deal_id").orderBy(F.desc("conf")).rowsBetween(Window.unboundedPreceding, -1))
+    first = first.withColumn("applied", later.isNull() | (F.col("id") < later))
+    unknown = F.col("applied") & ~F.coalesce(F.col("m.norm").isin(*P.SPONSORS), F.lit(False))
+    return first.groupBy("deal_id").agg(
+        F.max_by("m.raw", "conf").alias("sponsor_name_raw"), F.max("conf").alias("sponsor_confidence"), F.bool_or(unknown).alias("unresolved")
     )
 
 
