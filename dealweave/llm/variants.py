@@ -113,14 +113,12 @@ def near_words(words: DataFrame, by: list[str], depth: int) -> DataFrame:
     Found through a symmetric-delete index of ``depth`` deletions: two words
     that need more on either side to meet are not found.
     """
-    # The few words are cheap to move and turn into many entries: expand them on all cores.
-    known = words.filter(F.length("word") > 1).select(*by, "word").repartition(wide_parallelism(words.sparkSession), F.xxhash64("word", *by))
-    index = known.select(*by, "word", F.explode(F.expr(entries_sql("word", depth))).alias("entry")).withColumn("entry", F.xxhash64(*by, "entry"))
-    # Both sides have the same columns, so they are one exchange; a join that sorts keeps them off the driver.
-    other = index.select("entry", *[F.col(c).alias(f"_{c}") for c in by], F.col("word").alias("other")).hint("merge")
-    met = index.join(other, "entry").filter(F.col("word") < F.col("other"))
-    for c in by:
-        met = met.filter(F.col(c) == F.col(f"_{c}"))
+    known = words.filter(F.length("word") > 1)
+    index = known.select(F.explode(F.expr(entries_sql("word", depth))).alias("entry"), *by, "word").select(F.xxhash64(*by, "entry").alias("entry"), *by, "word")
+    # Joined to itself under two names, so that both sides are one exchange; a join that sorts keeps it off the driver.
+    same = " and ".join(f"a.{c} = b.{c}" for c in ("entry", *by))
+    met = index.alias("a").hint("merge").join(index.alias("b"), F.expr(f"{same} and a.word < b.word"))
+    met = met.select(*[f"a.{c}" for c in (*by, "word")], F.col("b.word").alias("other"))
     schema = ", ".join(f"{c} string" for c in (*by, "word", "other"))
     one = met.select(*by, "word", "other").distinct().mapInPandas(_near, schema)
     ways = F.array(F.struct("word", "other"), F.struct(F.col("other").alias("word"), F.col("word").alias("other")))
@@ -334,7 +332,9 @@ def link_variants(names: DataFrame, field: str = "field", name: str = "name") ->
     worded = full.select("field", "node", "support", F.explode("anchors").alias("word"))
     counts = worded.groupBy("field", "word").agg(F.sum("support").alias("n"))
     capitals = full.select("field", F.explode("capitals").alias("word")).distinct().join(counts, ["field", "word"], "left_anti")
-    vocabulary = cut_lineage(counts.unionByName(capitals.withColumn("n", F.lit(0).cast("bigint"))))
+    # Words turn into many entries each, so the tables they come from are written by all cores, to be read by all.
+    spread = lambda df, *by: df.repartition(parts, F.xxhash64(*by))
+    vocabulary = cut_lineage(spread(counts.unionByName(capitals.withColumn("n", F.lit(0).cast("bigint"))), "word"))
     near = cut_lineage(near_words(vocabulary, ["field"], 1))
     around = (
         near.join(vocabulary.select("field", F.col("word").alias("other"), F.col("n").alias("m")), ["field", "other"])
@@ -365,8 +365,8 @@ def link_variants(names: DataFrame, field: str = "field", name: str = "name") ->
     # The first anchor also meets words within two edits beside words of the same first letters.
     rest = F.array_sort(F.transform(F.filter("words", lambda w: w != F.col("first")), lambda w: F.substring(w, 1, 1)))
     leading = first.join(full.select("node", "words"), "node").select("field", "node", F.col("first").alias("anchor"), F.concat(F.lit("~"), F.array_join(rest, "")).alias("beside"))
-    leading = cut_lineage(leading)
-    far = leading.filter("length(anchor) >= 5 and beside <> '~'").select("field", "beside", F.col("anchor").alias("word")).distinct()
+    leading = cut_lineage(spread(leading, "node"))
+    far = leading.filter("length(anchor) >= 5 and beside <> '~'").select("field", "beside", F.col("anchor").alias("word"))
     far = near_words(far, ["field", "beside"], 2)
     anchored = anchored.unionByName(leading.select("field", "node", "anchor", F.lit("").alias("beside"))).distinct()
     anchored = cut_lineage(anchored.unionByName(leading.filter("beside <> '~'")).join(full.select("node", "words", "formal"), "node"))
