@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dealweave.session import cut_lineage, wide_parallelism
+from dealweave.session import cut_lineage, release, wide_parallelism
 
 #: Records aimed at in one range partition.
 PARTITION_ROWS = 250_000
@@ -121,10 +121,11 @@ def mix_sources(
     listed = docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), F.col(text).alias("_text"), weight.cast("double").alias("_w"))
     listed = listed.filter("_id is not null").join(plan.select("source"), "source", "left_semi")
     counted = token_counts(listed, "_id", "_text", tokenizer or default_tokenizer(), ["source", "_w"]).filter("n_tokens > 0")
-    keyed = cut_lineage(counted.withColumn("_k", exponential_key("_id", F.col("_w"), seed)).drop("_w"))
-    parts = max(wide_parallelism(spark), -(-keyed.count() // partition_rows))
+    drawn = cut_lineage(counted.withColumn("_k", exponential_key("_id", F.col("_w"), seed)).drop("_w"))
+    parts = max(wide_parallelism(spark), -(-drawn.count() // partition_rows))
     # Written once, so that the number of a partition stays that of its rows.
-    keyed = cut_lineage(keyed.repartitionByRange(parts, "source", "_k").withColumn("_b", F.spark_partition_id()))
+    keyed = cut_lineage(drawn.repartitionByRange(parts, "source", "_k").withColumn("_b", F.spark_partition_id()))
+    release(drawn)
 
     sums = keyed.groupBy("source", "_b").agg(F.sum("n_tokens").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
