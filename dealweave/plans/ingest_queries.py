@@ -17,12 +17,6 @@ def s2_request_rates(spark: SparkSession, root: str) -> DataFrame:
     return rates.groupBy("user_id").agg(F.max("in_window").alias("peak"))
 
 
-def s5_filing_list(spark: SparkSession, root: str) -> DataFrame:
-    f = read_table(spark, root, "filings")
-    picked = f.filter(F.col("form_type").isin(*edgar.MERGER_FORMS) & F.col("filing_date").between(F.lit("2023-01-01").cast("timestamp_ntz"), F.lit("2024-12-31").cast("timestamp_ntz")))
-    return picked.select("id", "accession_number", "form_type", "filing_date")
-
-
 def s7_filing_urls(spark: SparkSession, root: str) -> DataFrame:
     f = read_table(spark, root, "filings").filter("cik is not null and accession_number is not null")
     return f.select("id", edgar.padded_cik(F.col("cik")).alias("cik"), edgar.index_url(F.col("cik"), F.col("accession_number")).alias("url"))
@@ -48,13 +42,10 @@ def w2_user_sessions(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "finish": F.col("finish").cast("timestamp_ntz")})
 
 
-_FORMS = ", ".join(f"'{x}'" for x in edgar.MERGER_FORMS)
-QUERIES = {f.__name__: f for f in (s2_request_rates, s5_filing_list, s7_filing_urls, s9_new_filings, s10_exhibit_flags, w1_alert_hours, w2_user_sessions)}
+QUERIES = {f.__name__: f for f in (s2_request_rates, s7_filing_urls, s9_new_filings, s10_exhibit_flags, w1_alert_hours, w2_user_sessions)}
 SQL = {
     "s2_request_rates": """select user_id, max(c) as peak from (select user_id, count(*) over (partition by user_id order by epoch_us(ts)
         range between 3599999999 preceding and current row) as c from events) group by 1""",
-    "s5_filing_list": f"""select id, accession_number, form_type, filing_date from filings where form_type in ({_FORMS})
-        and filing_date between timestamp '2023-01-01' and timestamp '2024-12-31'""",
     "s7_filing_urls": """select id, case when length(cik) >= 10 then cik else lpad(cik, 10, '0') end as cik,
         'https://www.sec.gov/Archives/edgar/data/' || coalesce(nullif(ltrim(cik, '0'), ''), '0') || '/' || replace(accession_number, '-', '') || '/' || accession_number || '-index.htm' as url
         from filings where cik is not null and accession_number is not null""",
