@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dealweave.functions.fuzzy import near_in_texts, partial_ratio, ratio, similar_pairs
+from dealweave.functions.fuzzy import near_in_texts, partial_ratio, partial_ratio_above, ratio, similar_pairs
 from dealweave.operators import cluster, facts, reconcile, resolve, tables
 from dealweave.operators.graph import connected_components
 from dealweave.operators.orphans import advance, open_state, orphan_counts, orphan_rows, parents_from, references_from
@@ -263,6 +263,10 @@ def test_matching_equals_all_pairs(spark):
 def test_bigram_bounds_lose_nothing(names, texts, least):
     got = {(i, j): r for i, j, r in near_in_texts(names, texts, least)}
     assert got == {(i, j): partial_ratio(n, t) for i, n in enumerate(names) for j, t in enumerate(texts) if len(n) > 2 and t and partial_ratio(n, t) > least}
+    for n in names:
+        for t in texts:
+            r = partial_ratio(n, t)
+            assert partial_ratio_above(n, t, least) == (r if r > least and n and t else 0.0)
     pairs = {(i, j) for i, j, _ in similar_pairs(names, texts, least)}
     assert pairs == {(i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if ratio(n, t) >= least and (n or t)} | {(i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if not n and not t}
 
