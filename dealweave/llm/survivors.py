@@ -4,9 +4,10 @@ Groups come from any key column; ``transaction_groups`` builds the one for deal
 records.  Within the groups each non-null value is a claim by the source of its
 record.  Claims are counted once per (group, field, value, source); then value
 votes weighted by source reliability and the reliability of each source (how
-often its claims win) are estimated in turn until the weights settle.  The
-surviving record is the first by a given order; its fields are filled with the
-winning values.
+often its claims win) are estimated in turn until the weights settle.  Records
+that several groups could take go to the one whose winning values they share.
+The surviving record is the first by a given order; its fields are filled with
+the winning values.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ COMPLETENESS = (
 )
 _DEAL_COLUMNS = ("id", "state", "created_at", "updated_at")
 FUSED = (*COMPLETENESS, "deal_key", "expected_close_date", "actual_close_date", "is_sponsor_backed", "is_cross_border")
+#: Those that tell attempts apart; the others name the parties, and these are the same for all that a record could join.
+TERMS = (*COMPLETENESS[5:], "expected_close_date", "actual_close_date", "is_sponsor_backed", "is_cross_border")
 
 
 def discover_truth(
@@ -40,9 +43,8 @@ def discover_truth(
     states cannot alternate.  Weights that have not settled after
     ``most_rounds`` raise.
     """
-    cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
     claims = cut_lineage(
-        records.select(F.col(group).alias("g"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("s"), F.explode(cells).alias("c"))
+        records.select(F.col(group).alias("g"), F.coalesce(F.col(source).cast("string"), F.lit("unknown")).alias("s"), F.explode(_cells(fields)).alias("c"))
         .filter("g is not null and c.value is not null")
         .groupBy("g", F.col("c.field").alias("field"), F.col("c.value").alias("value"), "s")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -74,6 +76,11 @@ def discover_truth(
     return found, weights.select(F.col("s").alias("source"), F.col("w").alias("weight"))
 
 
+def _cells(fields: list[str]) -> Column:
+    """The fields of a record as (field, value), values as strings."""
+    return F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+
+
 def _winners(claims: DataFrame, weights: DataFrame) -> DataFrame:
     """(g, field, best): the value with the largest weighted vote."""
     votes = claims.join(weights, "s").groupBy("g", "field", "value").agg(F.sum(F.col("w") * F.col("n")).alias("support"), F.sum("n").alias("n"))
@@ -112,6 +119,31 @@ def best_representatives(
     return first.join(typed, group, "left")
 
 
+def place_by_truth(records: DataFrame, settled: DataFrame, chances: DataFrame, key: str, group: str, source: str, fields: list[str]) -> DataFrame:
+    """(key, group) of the records that several groups could take.
+
+    ``settled`` (key, group) are the records whose group is known; truth discovery
+    over them gives every group its values.  ``chances`` (key, group, owner, away)
+    are the groups open to each other record.  Each value that a record shares
+    with a group counts for it, each other one against it; of equal groups the
+    least ``away`` takes the record, and where that leaves several owners it is
+    left out.
+    """
+    truth, _ = discover_truth(records.join(settled, key), group, source, fields)
+    open_claims = records.join(chances.select(key), key, "left_semi").select(key, F.explode(_cells(fields)).alias("c")).select(key, "c.field", F.col("c.value").alias("claim"))
+    votes = (
+        chances.join(truth, group)
+        .join(open_claims.filter("claim is not null"), [key, "field"])
+        .groupBy(key, group)
+        .agg(F.sum(F.when(F.col("claim") == F.col("value"), 1).otherwise(-1)).alias("votes"))
+    )
+    rank = F.struct((-F.coalesce("votes", F.lit(0))).alias("against"), F.col("away"), F.col(group).alias("group"))
+    best = chances.join(votes, [key, group], "left").groupBy(key, "owner").agg(F.min(rank).alias("best"))
+    first = best.withColumn("place", F.rank().over(Window.partitionBy(key).orderBy("best.against", "best.away"))).filter("place = 1")
+    alone = first.groupBy(key).agg(F.min("best.group").alias(group), F.count(F.lit(1)).alias("owners")).filter("owners = 1")
+    return alone.select(key, group)
+
+
 def _cik(column: Column) -> Column:
     return F.nullif(F.ltrim(F.trim(column), F.lit("0")), F.lit(""))
 
@@ -130,11 +162,14 @@ def transaction_groups(deals: DataFrame, gap_days: int = 7) -> DataFrame:
     Parties are resolved by cik (zeros in front aside) and by linked spellings
     of their names, from the columns or, where those are null, from the deal key.
     Records of two parties are cut into attempts where announcements lie more
-    than ``gap_days`` apart; one without announcement joins the attempt closest
-    to its agreement date, else to its creation.  A record whose acquirer is
-    unknown joins the only acquirer whose attempt for the target fits its date.
-    Records without any target, or of an acquirer that stays unknown, are left
-    out.  Repeated ids count once; columns not named here are not read.
+    than ``gap_days`` apart.  One without announcement joins the only attempt, or
+    the one its agreement date fits; a record whose acquirer is unknown joins the
+    only acquirer whose attempt for the target fits its date.  Where several
+    attempts or acquirers are left, truth discovery over the records placed so
+    far decides (see ``place_by_truth``), then the attempt closest to the
+    agreement date, else to the creation.  Records without any target, or of an
+    acquirer that stays unknown, are left out.  Repeated ids count once; columns
+    other than those of ``FUSED``, the state and the creation are not read.
     """
     known = ("id", "acquirer_cik", "acquirer_name_raw", "target_cik", "target_name_raw", "target_name_normalized", "deal_key", "announcement_date", "agreement_date", "created_at")
     base = deals.select(*known).filter("id is not null").dropDuplicates(["id"]).withColumns(
@@ -186,26 +221,41 @@ def transaction_groups(deals: DataFrame, gap_days: int = 7) -> DataFrame:
     seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")) / 86400.0
     hint = F.coalesce(seconds("announcement_date"), seconds("agreement_date"), seconds("created_at"))
     away = F.greatest(F.col("_lo") - F.col("_at"), F.col("_at") - F.col("_hi"), F.lit(0.0))
-    undated = base.filter("_target is not null and _acquirer is not null and announcement_date is null").select("id", *parties, hint.alias("_at"))
-    placed = (
-        undated.join(spans, parties, "left")
-        .groupBy("id", *parties)
-        .agg(F.min_by("_attempt", F.struct(F.coalesce(away, F.lit(0.0)), "_attempt")).alias("_attempt"))
+    undated = base.filter("_target is not null and _acquirer is not null and announcement_date is null")
+    undated = undated.select("id", *parties, hint.alias("_at"), F.col("agreement_date").isNotNull().alias("_agreed"))
+    reach = undated.join(spans, parties, "left").withColumn("_away", F.coalesce(away, F.lit(0.0)))
+    placed = cut_lineage(
+        reach.groupBy("id", *parties).agg(
+            F.min_by("_attempt", F.struct("_away", "_attempt")).alias("_attempt"),
+            F.count("_attempt").alias("_many"),
+            F.count(F.when(F.col("_agreed") & (F.col("_away") <= gap_days), 1)).alias("_fits"),
+        )
     )
     stray = base.filter("_target is not null and _acquirer is null").select("id", "_target", hint.alias("_at"))
-    fit = (
-        stray.join(spans, "_target")
-        .filter(away <= gap_days)
-        .groupBy("id", "_target")
-        .agg(F.min("_acquirer").alias("_acquirer"), F.max("_acquirer").alias("_other"), F.min_by("_attempt", F.struct(away, "_attempt")).alias("_attempt"))
-        .filter("_acquirer = _other")
+    near = cut_lineage(stray.join(spans, "_target").withColumn("_away", away).filter(F.col("_away") <= gap_days).drop("_at", "_lo", "_hi"))
+    fit = near.groupBy("id", "_target").agg(
+        F.min("_acquirer").alias("_acquirer"), F.max("_acquirer").alias("_other"), F.min_by("_attempt", F.struct("_away", "_attempt")).alias("_attempt")
     )
-    found = (
-        dated.select("id", *parties, "_attempt")
-        .unionByName(placed.select("id", *parties, F.coalesce("_attempt", F.lit(0)).alias("_attempt")))
-        .unionByName(fit.select("id", *parties, "_attempt"))
+    transaction = F.concat_ws("\x01", "_acquirer", "_target", F.col("_attempt").cast("string")).alias("transaction")
+    sure = F.expr("_many < 2 or _fits = 1")
+    settled = cut_lineage(
+        dated.select("id", transaction)
+        .unionByName(placed.filter(sure).withColumn("_attempt", F.coalesce("_attempt", F.lit(0))).select("id", transaction))
+        .unionByName(fit.filter("_acquirer = _other").select("id", transaction))
     )
-    return found.select("id", F.concat_ws("\x01", "_acquirer", "_target", F.col("_attempt").cast("string")).alias("transaction"))
+    chance = ["id", transaction, F.col("_acquirer").alias("owner"), F.col("_away").alias("away")]
+    chances = cut_lineage(
+        reach.join(placed.filter(~sure).select("id"), "id", "left_semi").select(*chance)
+        .unionByName(near.join(fit.filter("_acquirer <> _other").select("id"), "id", "left_semi").select(*chance))
+    )
+    records = deals.select("id", "state", "deal_key", *TERMS).dropDuplicates(["id"]).withColumn("_source", _source())
+    return settled.unionByName(place_by_truth(records, settled, chances, "id", "transaction", "_source", list(TERMS)))
+
+
+def _source() -> Column:
+    """A record's source: how its key was built and its state, the two things that tell how it came about."""
+    kind = F.regexp_replace(F.regexp_extract("deal_key", r"^((?:cik|name):).*?(:(?:cik|name):)", 0), r":.*:(?=(?:cik|name))", "/")
+    return F.concat_ws("|", F.coalesce("state", F.lit("?")), kind)
 
 
 def _order() -> list[Column]:
@@ -227,11 +277,6 @@ def survivor_ids(deals: DataFrame) -> DataFrame:
 
 
 def surviving_deals(deals: DataFrame) -> DataFrame:
-    """Survivor and fused fields of every transaction with two or more deals records.
-
-    A record's source is how its key was built and its state, the two things
-    that tell how it came about.
-    """
-    kind = F.regexp_replace(F.regexp_extract("deal_key", r"^((?:cik|name):).*?(:(?:cik|name):)", 0), r":.*:(?=(?:cik|name))", "/")
-    records = _grouped(deals, (*_DEAL_COLUMNS, *FUSED)).withColumn("_source", F.concat_ws("|", F.coalesce("state", F.lit("?")), kind))
+    """Survivor and fused fields of every transaction with two or more deals records."""
+    records = _grouped(deals, (*_DEAL_COLUMNS, *FUSED)).withColumn("_source", _source())
     return best_representatives(cut_lineage(records), "transaction", "id", "_source", _order(), list(FUSED)).withColumnRenamed("id", "deal_id")

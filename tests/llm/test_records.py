@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dealweave.llm import canonical, survivors, variants
+from dealweave.llm import canonical, queries, survivors, variants
 from dealweave.llm.lexicon import damerau_pairs, damerau_within, encode, name_tokens, osa_within, strip_legal, true_damerau
 
 D = dt.datetime
@@ -275,3 +275,25 @@ def test_one_group_and_days(spark):
     for r in survivors.transaction_groups(spark.createDataFrame(rows, DEALS)).collect():
         got.setdefault(r["transaction"], set()).add(r["id"])
     assert sorted(map(sorted, got.values())) == [[0, 1, 2], [3, 4], [5]]
+
+
+def test_truth_places_open_records(spark, tmp_path):
+    """Rival bids and attempts that fit a record alike: the one whose values it shares takes it, also in p1_found."""
+    d = lambda m, n: D(2024, m, n)
+    rows = [
+        deal(1, ac="900", tc="77", tn="Zanodrel Water", when=d(1, 5), value=5.0),
+        deal(2, ac="123", tc="77", tn="Zanodrel Water", when=d(1, 7), agreed=d(1, 6), value=9.0),
+        deal(3, tc="77", tn="Zanodrel Water", when=d(1, 6), value=9.0),
+        deal(4, tc="77", tn="Zanodrel Water", when=d(1, 6), value=7.0),
+        deal(11, ac="1", tc="2", tn="Mintofal Toys", when=d(1, 1), value=5.0),
+        deal(12, ac="1", tc="2", tn="Mintofal Toys", when=d(6, 1), value=6.0),
+        deal(13, ac="1", tc="2", tn="Mintofal Toys", value=6.0),
+        deal(14, ac="1", tc="2", tn="Mintofal Toys", agreed=d(1, 2), value=6.0),
+    ]
+    deals = spark.createDataFrame(rows, DEALS)
+    groups: dict[str, set[int]] = {}
+    for r in survivors.transaction_groups(deals).collect():
+        groups.setdefault(r["transaction"], set()).add(r["id"])
+    assert sorted(map(sorted, groups.values())) == [[1], [2, 3], [11, 14], [12, 13]]
+    deals.write.parquet(str(tmp_path / "deals.parquet"))
+    assert {r["deal_id"] for r in queries.p1_found(spark, str(tmp_path)).collect()} == {2, 11, 12}
