@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from dealweave.functions.fuzzy import near_in_texts, partial_ratio, partial_ratio_above, ratio, similar_pairs
+from dealweave.functions.fuzzy import NearIndex, near_in_texts, partial_ratio, partial_ratio_above, ratio, similar_pairs
 from dealweave.operators import cluster, facts, reconcile, resolve, tables
 from dealweave.operators.graph import connected_components
 from dealweave.operators.orphans import advance, open_state, orphan_counts, orphan_rows, parents_from, references_from
@@ -271,6 +271,22 @@ def test_bigram_bounds_lose_nothing(names, texts, least):
     assert pairs == {(i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if ratio(n, t) >= least and (n or t)} | {(i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if not n and not t}
 
 
+def test_name_pieces_spare_most_pairs():
+    """Names and texts meet by pieces of the names: few of all pairs are left to compare, and no near one is lost."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4))
+    names = [f"{word()} {word()}" for _ in range(300)]
+    texts = []
+    for name in names[:60]:
+        at = rng.randrange(len(name))
+        texts.append(f"notes for {name[:at]}q{name[at + 1 :]} due {word()}")
+    one, two = NearIndex(names, 85.0).candidates(texts)
+    pairs = set(zip(one.tolist(), two.tolist()))
+    assert len(pairs) == len(one) < len(names) * len(texts) / 10
+    near = {(i, j) for i, n in enumerate(names) for j, t in enumerate(texts) if partial_ratio_above(n, t, 85.0)}
+    assert {(j, j) for j in range(60)} <= near <= pairs and {(i, j) for i, j, _ in near_in_texts(names, texts, 85.0)} == near
+
+
 def test_assigned_deals(spark):
     party = "struct<party_name_raw:string,party_name_normalized:string,role_label:string,cik:string>"
     row = lambda i, ex, role, name, cik=None, deal=None: (i, ex, 1, deal, (name, name, role, cik))
